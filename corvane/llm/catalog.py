@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, proportions, tokenize
+from . import leakage, mixing, overlap, proportions, tokenize
 from .common import table
 
 
@@ -45,7 +45,57 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(sizes, w, mixing.choose_documents(sizes, w))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+def _contents(c: str = "messages") -> F.Column:
+    return F.array_join(F.transform(c, lambda m: m["content"]), "\n")
+
+
+def stem(c: F.Column) -> F.Column:
+    """Question without its lettered options."""
+    cut = F.regexp_extract(c, r"(?s)^(.+?)\s*\n\s*\(?[Aa]\s*[).:]\s.*$", 1)
+    return F.coalesce(F.nullif(cut, F.lit("")), c)
+
+
+def _leak_sides(spark: SparkSession, d: str):
+    corpus = table(spark, d, "master_corpus").select("rec_id", _contents().alias("text"))
+    items = table(spark, d, "phyx_mc").select("index", stem(F.col("question")).alias("stem"))
+    return corpus, items
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    corpus, items = _leak_sides(spark, d)
+    return leakage.leaked_items(corpus, items, "rec_id", "text", "index", "stem").select("rec_id", "index")
+
+
+def p2_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    corpus, items = _leak_sides(spark, d)
+    return leakage.reparameterised(corpus, items, "rec_id", "text", "index", "stem")
+
+
+def _split_sides(spark: SparkSession, d: str):
+    first = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"].alias("text")
+    subset = F.col("metadata.corpus_subset")
+
+    def side(name, split):
+        return table(spark, d, name).select("rec_id", first, split.alias("split"), F.col("source"))
+
+    master = table(spark, d, "master_corpus").select("rec_id", first, subset.alias("split"), "source")
+    evals = side("eval_olympiad_v2", F.lit("eval_olympiad_v2")).unionByName(side("eval_mini", F.lit("eval_mini"))).unionByName(master.where(F.col("split").startswith("eval")))
+    train = side("train_pool", F.lit("train_pool")).unionByName(master.where(F.col("split") == "train"))
+    return evals, train
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    evals, train = _split_sides(spark, d)
+    pairs = overlap.record_pairs(*overlap.cross_split_overlaps(evals, train))
+    return pairs.select(F.least("eval_rec_id", "train_rec_id").alias("rec_id_a"), F.greatest("eval_rec_id", "train_rec_id").alias("rec_id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    evals, train = _split_sides(spark, d)
+    return overlap.overlap_counts(*overlap.cross_split_overlaps(evals, train, carry=["split", "source"]), ["split", "source"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
 
 _P3 = """
 with pool as (
