@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, overlap, proportions, tokenize
+from . import leakage, mixing, overlap, proportions, residue, tokenize
 from .common import table
 
 
@@ -95,7 +95,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(*overlap.cross_split_overlaps(evals, train, carry=["split", "source"]), ["split", "source"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.split_residue(table(spark, d, "documents"))[1]
+
+
+QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_clean": p8_clean}
 
 _P3 = """
 with pool as (
