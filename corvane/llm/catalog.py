@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, overlap, proportions, residue, tokenize
+from . import leakage, mixing, overlap, proportions, residue, tokenize, truncation
 from .common import table
 
 
@@ -95,6 +95,19 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(*overlap.cross_split_overlaps(evals, train, carry=["split", "source"]), ["split", "source"])
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "generations").select("gen_id", "response", "raw_len")
+    return truncation.find_truncated(g, "gen_id", "response", "raw_len", table(spark, d, "oe_items").select("question"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("cut").select("gen_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "generations"), _truncated(spark, d), "gen_id", "source")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -103,7 +116,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.split_residue(table(spark, d, "documents"))[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_clean": p8_clean}
+QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_clean": p8_clean}
 
 _P3 = """
 with pool as (
