@@ -26,6 +26,7 @@ CONTEXTS = (2, 1)  # words before the last one, tried in turn
 MARKS = re.compile(r"(?:\s*(?:\.{3,}|…|�+|\[[^\[\]]{0,40}(?:clos|trunc|cut|omit|limit|continu|abort|more)[^\[\]]{0,40}\]|<[^<>]{0,20}(?:trunc|cut|more)[^<>]{0,20}>|\((?:truncated|cut off|continued)\)))+\s*$", re.I)
 _UNIT = re.compile(r"(?<=[.!?。！？])[\"'”’)\]*]*\s+(?=[^\sa-z,;:)\]])|[\r\n]+|(?<=[。！？])")
 _NUMBER = re.compile(r"\$?\d[\d.]*\s*\\times\s*10\^\{?-?\d+\}?\$?|\d+(?:[.,]\d+)*(?:e[+-]?\d+)?")
+_VALUE = re.compile(r"(?:\S{1,8} [=≈:] )?[(+-]?0(?: \S+){0,2}$")
 _THINK = re.compile(r"</?think>", re.I)
 _STOPPED = re.compile(r"[.!?。！？:][\"'”’)\]*»_`]*$")
 
@@ -49,7 +50,7 @@ def unbalanced(text: str) -> bool:
 
 def ending(text: str | None) -> tuple | None:
     """(marked, open formula, last words with the last one at the end) of a text; None for blank
-    ones and for a lone word, which is short but whole."""
+    ones and for a lone word or value, which is short but whole."""
     if not text or not text.strip():
         return None
     rest = MARKS.sub("", text)
@@ -59,7 +60,7 @@ def ending(text: str | None) -> tuple | None:
     got = units(rest)
     if not got:
         return None
-    if len(got) == 1 and len(got[0]) == 1 and not marked:
+    if len(got) == 1 and not marked and (len(got[0]) == 1 or _VALUE.match(" ".join(got[0]))):
         return None
     last = ["^", "^", *got[-1]]
     return marked, unbalanced(rest), last[-3:]
@@ -161,7 +162,7 @@ def is_cut(stopped: Column, raw_longer: Column | None = None) -> Column:
 def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: str | None = None, more: DataFrame | None = None) -> DataFrame:
     """(id, cut, marked, open, prefix_of_longer, raw_longer) for each text with an ending.
 
-    `more` (one text column) only adds windows. Null, empty and blank texts, lone words, and texts of
+    `more` (one text column) only adds windows. Null, empty and blank texts, lone words or values, and texts of
     nothing but a mark, have no row; a raw length is a witness only where an ending is new. Ids must be unique."""
     windows = word_windows(texts.select(text_col) if more is None else texts.select(text_col).unionByName(more.toDF(text_col)), text_col)
     e = ending_evidence(texts, windows, id_col, text_col)
