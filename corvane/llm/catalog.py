@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, overlap, proportions, residue, tokenize, truncation
+from . import leakage, mixing, overlap, pairs, proportions, residue, tokenize, truncation
 from .common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "oe_items").groupBy("id").agg(F.min("question").alias("question"))
+    g = table(spark, d, "generations").select("gen_id", "id", "response", "gold", "raw_len")
+    rows = g.join(items, "id", "left").select("gen_id", "question", "response", "gold", "raw_len")
+    return pairs.find_defects(rows, "gen_id").select("gen_id", "defect")
+
+
 def p3_pool(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_mini").select(F.col("_uid").alias("uid"), F.col("_concept").alias("concept"), F.col("_difficulty").alias("difficulty"), F.col("_source_bucket").alias("source_bucket"))
 
@@ -86,8 +93,8 @@ def _split_sides(spark: SparkSession, d: str):
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     evals, train = _split_sides(spark, d)
-    pairs = overlap.record_pairs(*overlap.cross_split_overlaps(evals, train))
-    return pairs.select(F.least("eval_rec_id", "train_rec_id").alias("rec_id_a"), F.greatest("eval_rec_id", "train_rec_id").alias("rec_id_b"))
+    found = overlap.record_pairs(*overlap.cross_split_overlaps(evals, train))
+    return found.select(F.least("eval_rec_id", "train_rec_id").alias("rec_id_a"), F.greatest("eval_rec_id", "train_rec_id").alias("rec_id_b"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +123,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.split_residue(table(spark, d, "documents"))[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_clean": p8_clean}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_reparameterised": p2_reparameterised, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_clean": p8_clean}
 
 _P3 = """
 with pool as (

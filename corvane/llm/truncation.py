@@ -159,12 +159,13 @@ def is_cut(stopped: Column, raw_longer: Column | None = None) -> Column:
     return F.coalesce(F.col("open") | (F.coalesce(verdict, unknown) & ~stopped) | (F.col("marked") & ~stopped), F.lit(False))
 
 
-def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: str | None = None, more: DataFrame | None = None) -> DataFrame:
+def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: str | None = None, more: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """(id, cut, marked, open, prefix_of_longer, raw_longer) for each text with an ending.
 
-    `more` (one text column) only adds windows. Null, empty and blank texts, lone words or values, and texts of
+    `more` (one text column) only adds windows; `windows` replaces them all. Null, empty and blank texts, lone words or values, and texts of
     nothing but a mark, have no row; a raw length is a witness only where an ending is new. Ids must be unique."""
-    windows = word_windows(texts.select(text_col) if more is None else texts.select(text_col).unionByName(more.toDF(text_col)), text_col)
+    if windows is None:
+        windows = word_windows(texts.select(text_col) if more is None else texts.select(text_col).unionByName(more.toDF(text_col)), text_col)
     e = ending_evidence(texts, windows, id_col, text_col)
     pre = strict_prefixes(texts, id_col, text_col).distinct().withColumn("prefix_of_longer", F.lit(True))
     raw = F.col(raw_len_col) > F.length(text_col) if raw_len_col else F.lit(None).cast("boolean")
