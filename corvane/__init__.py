@@ -1 +1,8 @@
 """corvane: curation, audit and scoring of text corpora as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
