@@ -38,11 +38,12 @@ def stratified(df: DataFrame, n: int, strata: list[str], uid: str, seed: int = 4
     Fewer rows than n are all taken; with fewer rows asked than strata, all come from the leftovers."""
     count = df.select(*strata).distinct().agg(F.count("*").alias("c")).scalar()
     per = F.floor(F.lit(n) / F.greatest(count, F.lit(1)))
-    w = W.partitionBy(*strata).orderBy("_h", uid)
-    # more than n rows of a stratum can never be taken: the constant limit bounds what is exchanged
-    rows = df.withColumn("_h", seeded(F.col(uid), seed, "a")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2 * n)
-    rows = rows.withColumn("_late", F.col("_rn") > per).withColumn("_o", F.when(F.col("_late"), seeded(F.col(uid), seed, "b")).otherwise(F.lit("")))
-    return rows.orderBy("_late", "_o", "_h", uid).limit(n).drop("_h", "_rn", "_late", "_o")
+    # no stratum gives more than n rows, so tasks cut theirs to n before the exchange; the leftovers
+    # are then ordered without strata, and only n rows of each task leave it
+    first = _ranked(df, strata, uid, seed, "a", F.lit(n)).where(F.col("_rn") <= per).drop("_rn").persist()
+    rest = df.join(first.select(F.col(uid).alias("_u")), F.col(uid) == F.col("_u"), "left_anti").withColumn("_h", seeded(F.col(uid), seed, "a"))
+    both = first.withColumn("_o", F.lit("")).unionByName(rest.withColumn("_o", seeded(F.col(uid), seed, "b")))
+    return both.orderBy("_o", "_h", uid).limit(n).drop("_h", "_o")
 
 
 def quotas(df: DataFrame, n: int, strata: list[str]) -> DataFrame:
