@@ -49,6 +49,7 @@ def target_report(pool: DataFrame, targets: DataFrame) -> DataFrame:
 
     needed = greater of min_rows and target_share * sample_rate * (usable rows of the plan), unrounded;
     null parameters count as 0. Plans without a usable row are reported with 0."""
+    targets = targets.select("target_id", "plan_name", *LABELS, "target_share", "min_rows", "sample_rate")
     use = usable_rows(pool, targets)
     per = use.groupBy(F.col("target_id").alias("_t"), F.col("plan_name").alias("_q")).agg(F.count("*").alias("usable"))
     whole = use.select("plan_name", "uid").distinct().groupBy(F.col("plan_name").alias("_p")).agg(F.count("*").alias("plan_usable"))

@@ -13,6 +13,7 @@ import base64
 import os
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,8 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Strings that look like special tokens are ordinary text. Repeated and null ids keep a row each;
     other columns are ignored. An empty table gives an empty table."""
     kind = df.schema[id_col].dataType.simpleString()
-    blocks = _blocks(df, id_col, text_col)
+    # kept, so that texts are split once and both uses see the same blocks; a lost part is made again
+    blocks = _blocks(df, id_col, text_col).persist(StorageLevel.DISK_ONLY)
     ids = _encoded_words(blocks, vocabulary)
     result = "n_tokens long" if counts_only else "ids array<int>"
 
