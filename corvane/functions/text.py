@@ -23,7 +23,7 @@ def shingle_set(norm: Column, k: int = 5) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
         return F.array_distinct(cut)
 
-    return F.get(F.transform(F.array(F.split(norm, " ")), runs), F.lit(0))
+    return F.when(norm.isNotNull(), F.get(F.transform(F.array(F.split(norm, " ")), runs), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
