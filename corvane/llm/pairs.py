@@ -24,7 +24,7 @@ from .truncation import find_truncated, word_windows
 LABELS = ("empty", "refusal", "copied", "other_language", "truncated")
 SAMPLE = 4000  # pairs of the table that training may use
 HASHED = 1 << 13
-TAIL_WORDS = 40
+TAIL_SENTENCES = 2  # the end of a response whose n-grams are features
 
 # Words that mark a language (function words and verb forms of plain prose).
 LANGUAGE_WORDS = {
@@ -149,8 +149,8 @@ def dense_features(question, response, gold, cut: bool, open_: bool, marked: boo
 
 def ngram_features(response) -> list[int]:
     """Hashed word 1- to 3-grams of the response's end, numbers typed."""
-    text = _THOUGHT.sub(" ", response or "")
-    ws = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d.]*", text.lower().replace("’", "'"))[-TAIL_WORDS:]
+    text = " ".join(re.split(r"(?<=[.!?])\s+|\n+", _THOUGHT.sub(" ", response or "").strip())[-TAIL_SENTENCES:])
+    ws = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d.]*", text.lower().replace("’", "'"))
     ws = ["#" if w[0].isdigit() else w for w in ws]
     return sorted({zlib.crc32(" ".join(ws[i : i + n]).encode("utf-8", "surrogatepass")) % HASHED for n in (1, 2, 3) for i in range(len(ws) - n + 1)})
 
@@ -291,8 +291,10 @@ def train(pairs: DataFrame, windows: DataFrame, id_col: str = "id", sample: int
     weight = np.where(sure & (y == 0), 0.0, 1.0)
     fold = np.arange(len(made)) % 4 == 3
     fit = lambda w: LinearModel().fit(dense[~fold], [grams[i] for i in np.flatnonzero(~fold)], y[~fold], w[~fold] + 1e-9)
-    first = fit(weight).scores(dense, grams)
-    weight[real] *= first[real] < 0.3
+    # pairs of the table may be defective: they count little against a label at first
+    for doubt in (0.1, 1.0):
+        first = fit(weight * np.where(real, doubt, 1.0)[:, None]).scores(dense, grams)
+        weight[real] *= first[real] < 0.3
     model = fit(weight)
     held = fold & (weight.min(axis=1) > 0)
     return model.calibrate(dense[held], [grams[i] for i in np.flatnonzero(held)], y[held])

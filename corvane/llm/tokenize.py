@@ -132,4 +132,4 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", v
         F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.hex(F.coalesce("bytes", F.lit("�").cast("binary"))).alias("h"))))).alias("l")
     )
     raw = F.unhex(F.array_join(F.transform("l", lambda x: x["h"]), ""))
-    return lists.select(F.col("_id").alias(id_col), F.decode(raw, F.lit("UTF-8")).alias("text"))
+    return lists.select(F.col("_id").alias(id_col), F.make_valid_utf8(raw.cast("string")).alias("text"))
