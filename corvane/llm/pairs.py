@@ -211,14 +211,15 @@ class LinearModel:
     def scores(self, dense, grams):
         import numpy as np
 
-        idx, row, scale = self._csr(grams)
+        idx, row, scale = grams if isinstance(grams, tuple) else self._csr(grams)
         x = np.asarray(dense, np.float64)
         z = x @ self.dense
-        for j in range(z.shape[1]):
-            z[:, j] += np.bincount(row, weights=self.hashed[idx, j], minlength=len(x)) * scale
+        if len(idx):
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            z[row[starts]] += np.add.reduceat(self.hashed[idx], starts, axis=0) * scale[row[starts], None]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, dense, grams, y, weight, rounds: int = 150, rate: float = 0.15):
+    def fit(self, dense, grams, y, weight, rounds: int = 60, rate: float = 0.3):
         """Adam on the weighted log loss. Only refusals show in their wording alone, so the n-gram
         weights of the other labels are held smaller."""
         import numpy as np
@@ -232,7 +233,7 @@ class LinearModel:
         v = [np.zeros_like(p) for p in params]
         for t in range(1, rounds + 1):
             self.dense, self.hashed = params
-            err = (self.scores(x, grams) - y) * weight / weight.sum(axis=0)
+            err = (self.scores(x, (idx, row, scale)) - y) * weight / weight.sum(axis=0)
             grads = [x.T @ err + 1e-5 * params[0], np.stack([np.bincount(idx, weights=(err[:, j] * scale)[row], minlength=HASHED) for j in range(k)], 1) + shrink * params[1]]
             for p, g, a, b in zip(params, grads, m, v):
                 a += 0.1 * (g - a)
