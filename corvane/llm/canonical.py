@@ -25,6 +25,8 @@ _POWER = re.compile(r"\s*(?:\\times|\\cdot|×|\*|(?<=\d)\s+x(?=\s+10))\s*10\s*(?
 _SPACE = re.compile(r"\\(?:quad|qquad|thinspace|left|right|displaystyle)\b|\\+[,;:! ]|~|&nbsp;")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[>\s]*(?=[^\W\d_])")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+_ASCII_WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*(?:e[+-]?\d+(?![a-z]))?")
+_EXPONENT = re.compile(r"\de[+-]?\d")
 _WORD = re.compile(r"\d+(?:\.\d+)*(?:e[+-]?\d+(?![a-z]))?|[^\W\d_]+")
 
 
@@ -47,8 +49,8 @@ def words(text: str | None) -> list[str]:
         text = _SPACE.sub(" ", text)
     if "10" in text:
         text = _POWER.sub(r"e\1 ", text)
-    out = _WORD.findall(text)
-    if "e" in text:
+    out = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    if _EXPONENT.search(text):
         out = [f"{float(w):g}" if "e" in w and w[0].isdigit() else w for w in out]
     return out
 
