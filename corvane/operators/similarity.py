@@ -24,20 +24,29 @@ def classes(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> tuple[Data
     return made, normed.join(reps, "norm").select("id", "rep")
 
 
-def _prefix(c: DataFrame, freq: DataFrame, t: float) -> DataFrame:
-    each = c.select("rep", "n", F.explode("shingles").alias("s")).join(freq, "s")
-    r = F.row_number().over(W.partitionBy("rep").orderBy("df", "s"))
-    return each.withColumn("pos", r).where(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("s", "rep", "n", "pos")
+def _frequencies(c: DataFrame) -> DataFrame:
+    return c.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
+
+
+def _prefix(c: DataFrame, shared: DataFrame, t: float) -> DataFrame:
+    """Indexed part of each class's prefix. Shingles that no other class has are the rarest of all: they
+    take their places in the prefix, but are not exchanged or joined."""
+    each = c.select("rep", "n", F.explode("shingles").alias("s")).join(shared, "s")
+    own = W.partitionBy("rep")
+    pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "s"))
+    return each.withColumn("pos", pos).where(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("s", "rep", "n", "pos")
 
 
 def join_classes(a: DataFrame, b: DataFrame | None, t: float = 0.4) -> DataFrame:
     """Pairs (a, b, jaccard) of classes with similarity of at least t; with `b` None, a self-join with a < b."""
     if t <= 0:
         raise ValueError("the threshold must be above 0")
-    both = a if b is None else a.unionByName(b)
-    freq = both.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    pa = _prefix(a, freq, t)
-    pb = pa if b is None else _prefix(b, freq, t)
+    if b is None:
+        shared = _frequencies(a).where(F.col("df") > 1)
+    else:
+        shared = _frequencies(a).join(_frequencies(b).withColumnRenamed("df", "df2"), "s").select("s", (F.col("df") + F.col("df2")).alias("df"))
+    pa = _prefix(a, shared, t)
+    pb = pa if b is None else _prefix(b, shared, t)
     left = pa.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = pb.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     cand = left.join(right, "s")
