@@ -28,11 +28,11 @@ TAIL_SENTENCES = 2  # the end of a response whose n-grams are features
 
 # Words that mark a language (function words and verb forms of plain prose).
 LANGUAGE_WORDS = {
-    "en": "the and of is it that with for at by from as on this be are which to in we so has then an its not into when will its".split(),
+    "en": "the a an and of is it that with for at by from as on this be are which to in we so has then its not into when will i you he she they what can could would have had was were but if or my your me do does there than more most must should please".split(),
     "de": "der die das und ist von mit für bei aus als auf nicht sich wir wird wenn dass im den dem ein eine einer zu nach um hat bis noch denn also daraus dabei".split(),
-    "fr": "le la les et est de du des une un que qui dans pour sur avec au aux par nous on ne pas ce cette plus donc puis jusqu tant".split(),
-    "es": "el la los las y es de del una un que en por con para se al no lo su como más sin cuando hasta entonces luego donde".split(),
-    "it": "il lo la gli le e è di del della una un che in per con si al non come più quando fino dal nel dei delle alla poi finché".split(),
+    "fr": "l d qu été pendant le la les a à et est de du des une un que qui dans pour sur avec au aux par nous on ne pas ce cette plus donc puis jusqu tant".split(),
+    "es": "el la los las a y es de del una un que en por con para se al no lo su como más sin cuando hasta entonces luego donde".split(),
+    "it": "l dell all stata stato il lo la gli le a e è di del della una un che in per con si al non come più quando fino dal nel dei delle alla poi finché".split(),
     "pt": "o a os as e é de do da dos uma um que em por com para se ao não no na como mais quando até então depois enquanto pelo".split(),
     "nl": "de het een en is van met voor bij uit als op niet we wordt wanneer dat te naar om heeft tot nog want dus er zijn".split(),
 }
@@ -68,7 +68,7 @@ CLOSINGS = ["", "", "", "Please consult a teacher.", "Let me know if you have an
 # Stand-ins for a missing answer.
 STAND_INS = frozenset("n/a na none null nil nan - -- ? ... … tbd todo unknown undefined missing empty answer answer: the result is".split()) | {""}
 
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+")
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\[a-zA-Z]+", re.S)
 _THOUGHT = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»")
@@ -219,7 +219,7 @@ class LinearModel:
             z[row[starts]] += np.add.reduceat(self.hashed[idx], starts, axis=0) * scale[row[starts], None]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, dense, grams, y, weight, rounds: int = 60, rate: float = 0.3):
+    def fit(self, dense, grams, y, weight, rounds: int = 80, rate: float = 0.3):
         """Adam on the weighted log loss. Only refusals show in their wording alone, so the n-gram
         weights of the other labels are held smaller."""
         import numpy as np
