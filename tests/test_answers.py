@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 from corvane.functions import extract, match, prompts, reward, tags, text
 from corvane.operators import judging
 
-from .conftest import rows
-
 
 def col(spark, values, kind="string"):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
