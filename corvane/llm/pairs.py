@@ -305,8 +305,8 @@ def find_defects(pairs: DataFrame, id_col: str = "id", sample: int = SAMPLE, see
     """(id, defect, score): one row a defect. `pairs`: id, question, response, gold (array), and raw_len.
 
     A null question (an item that is not known) tells neither copies nor languages. Null, empty and blank
-    responses and golds are empty; a null in a gold list is no answer. Repeated rows count each, if their
-    ids differ. An empty table has no defects; other columns are ignored."""
+    responses and golds are empty; a null in a gold list is no answer. Repeated rows count each; ids must be
+    unique, and a row with a null id is not told to be truncated. An empty table has no defects; other columns are ignored."""
     pairs = pairs.select(id_col, "question", "response", "gold", "raw_len")
     kind = pairs.schema[id_col].dataType.simpleString()
     questions = pairs.select(F.col("question").alias("t")).where(F.col("t").isNotNull()).distinct()

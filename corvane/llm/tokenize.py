@@ -10,7 +10,6 @@ one row a block, so there is no hot key to salt.
 from __future__ import annotations
 
 import base64
-import os
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the published split pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_DOCS, BLOCK_CHARS = 1000, 4_000_000
 
 

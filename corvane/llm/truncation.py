@@ -28,7 +28,8 @@ _UNIT = re.compile(r"(?<=[.!?。！？])[\"'”’)\]*]*\s+(?=[^\sa-z,;:)\]])|[\
 _NUMBER = re.compile(r"\$?\d[\d.]*\s*\\times\s*10\^\{?-?\d+\}?\$?|\d+(?:[.,]\d+)*(?:e[+-]?\d+)?")
 _VALUE = re.compile(r"(?:\S{1,8} [=≈:] )?[(+-]?0(?: \S+){0,2}$")
 _THINK = re.compile(r"</?think>", re.I)
-_STOPPED = re.compile(r"[.!?。！？:][\"'”’)\]*»_`]*$")
+_STOPPED = r"[.!?。！？][\"'”’)\]*»_`]*$"
+ABBREVIATIONS = ("i.e.", "e.g.", "cf.", "approx.", "ca.")
 
 
 def units(text: str) -> list[list[str]]:
@@ -163,14 +164,15 @@ def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: st
     """(id, cut, marked, open, prefix_of_longer, raw_longer) for each text with an ending.
 
     `more` (one text column) only adds windows; `windows` replaces them all. Null, empty and blank texts, lone words or values, and texts of
-    nothing but a mark, have no row; a raw length is a witness only where an ending is new. Ids must be unique."""
+    nothing but a mark, have no row; a raw length is a witness only where an ending is new. Ids must be unique and not
+    null."""
     if windows is None:
         windows = word_windows(texts.select(text_col) if more is None else texts.select(text_col).unionByName(more.toDF(text_col)), text_col)
     e = ending_evidence(texts, windows, id_col, text_col)
     pre = strict_prefixes(texts, id_col, text_col).distinct().withColumn("prefix_of_longer", F.lit(True))
     raw = F.col(raw_len_col) > F.length(text_col) if raw_len_col else F.lit(None).cast("boolean")
     out = e.join(texts.select(id_col, F.coalesce(raw, F.lit(False)).alias("raw_longer")), id_col).join(pre, id_col, "left")
-    stopped = F.col("word").rlike(r"[.!?。！？][\"'”’)\]*»_`]*$") & ~F.col("word").isin("i.e.", "e.g.", "cf.", "approx.", "ca.")
+    stopped = F.col("word").rlike(_STOPPED) & ~F.col("word").isin(*ABBREVIATIONS)
     return out.select(id_col, is_cut(stopped, F.col("raw_longer")).alias("cut"), "marked", "open", F.coalesce("prefix_of_longer", F.lit(False)).alias("prefix_of_longer"), "raw_longer", "word", "on2", "stop2", "on1", "stop1")
 
 
