@@ -140,7 +140,7 @@ _FIELDS = re.compile(
             r"\{%[^{}%]{1,60}%\}",
             rf"<%=?\s*{_NAME}\s*%>",
             rf"[$#]\{{\s*{_NAME}\s*\}}",
-            rf"%\({_NAME}\)[sdf]",
+            rf"%\({_NAME}\)[sdfSDF]",
             r"(?<![\w%])%[A-Z][A-Z_.]{2,40}%(?!\w)",
             r"(?<!\w)__[A-Z][A-Z_.]{2,40}__(?!\w)",
             rf"@@\s*{_NAME}\s*@@",
