@@ -69,17 +69,17 @@ def _encoded_words(blocks: DataFrame, vocabulary: str) -> DataFrame:
 
         ranks = load_ranks(vocabulary)
         enc = tiktoken.Encoding("corvane", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        known: dict[str, list[int]] = {}
+        last, ids = None, []
         for batch in batches:
             out = []
             for w in batch.column(2).to_pylist():
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = enc.encode_ordinary(w)
+                if w != last:
+                    last, ids = w, enc.encode_ordinary(w)
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["block", "i", "ids"])
 
-    return words.repartition("word").mapInArrow(encode, "block long, i int, ids array<int>")
+    # sorted, so that a task remembers one word and not its whole share of the vocabulary
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, i int, ids array<int>")
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
