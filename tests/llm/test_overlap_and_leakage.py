@@ -64,6 +64,20 @@ def test_overlaps_equal_brute_force(spark):
     assert count.pairs == len(pairs) and count.eval_records == len({a for a, _ in pairs})
 
 
+def test_scattered_changes_keep_a_pair(spark):
+    rng = random.Random(6)
+    texts = [[rng.choice(VOCAB) for _ in range(n)] for n in (64, 40, 8, 5, 4, 4)]
+    gaps = (8, 4, 8, 5, 4, 2)  # of the last text half the words are replaced
+    other = [[f"new{chr(97 + i)}" if i % g == g - 1 else w for i, w in enumerate(x)] for x, g in zip(texts, gaps)]
+    shuffled = [rng.sample(x, len(x)) for x in other]
+    e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "rec_id long, text string")
+    t = spark.createDataFrame([(10 * (1 + k) + i, " ".join(x)) for k, side in enumerate((other, shuffled)) for i, x in enumerate(side)], "rec_id long, text string")
+    got = {(r.eval_rec_id, r.train_rec_id) for r in overlap.record_pairs(*overlap.cross_split_overlaps(e, t)).collect()}
+    assert got == {(i, 10 * k + i) for i in range(5) for k in (1, 2)}
+    blocks = overlap.class_pairs(*(overlap._classes(overlap.text_bags(x, "rec_id", "text", [])) for x in (e, t)), block=2)
+    assert blocks.count() == len(got)
+
+
 def test_overlaps_of_empty_sides(spark):
     empty = spark.createDataFrame([], "rec_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "rec_id long, text string")
