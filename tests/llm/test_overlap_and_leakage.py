@@ -113,6 +113,16 @@ def test_leaks_whole_partly_and_mistyped(spark):
     assert (6, "6") in marked and (1, "0") not in marked
 
 
+def test_quotations_without_numbers_bridge_a_replaced_word():
+    chain = lambda runs, numbers=(), stock=(): leakage._chain([(j, 100 + j + shift, j not in stock) for a, b, shift in runs for j in range(a, b - 4)], 60, 60, list(numbers), 5, 20)
+    assert chain([(0, 10, 0), (11, 21, 0)]) == 21  # one word replaced
+    assert chain([(0, 9, 0), (10, 31, 0)]) == 31
+    assert chain([(0, 5, 0), (12, 33, 0)], stock=range(5)) >= 21  # a stock window at a fitting offset
+    assert chain([(0, 5, 0), (9, 14, 0), (18, 38, 0)], numbers=[6, 7, 15, 16]) == 20  # another number before a verbatim quotation
+    assert chain([(0, 8, 0), (10, 20, 0)]) < 20  # two words side by side: another question of the same build
+    assert chain([(0, 19, 0)]) < 20 and chain([(0, 6, 0), (12, 18, 0), (24, 30, 0)]) < 20 and chain([(0, 25, 0)], stock=range(25)) < 20
+
+
 def test_leaks_with_empty_tables(spark):
     c = spark.createDataFrame([(1, "a b c d e f")], "rec_id long, text string")
     i = spark.createDataFrame([("1", "a b c d e f")], "index string, stem string")
