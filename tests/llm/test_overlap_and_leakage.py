@@ -123,6 +123,17 @@ def test_quotations_without_numbers_bridge_a_replaced_word():
     assert chain([(0, 19, 0)]) < 20 and chain([(0, 6, 0), (12, 18, 0), (24, 30, 0)]) < 20 and chain([(0, 25, 0)], stock=range(25)) < 20
 
 
+def test_leaks_with_several_replaced_words(spark):
+    rng = random.Random(10)
+    items = [(str(i), " ".join(rng.choice(VOCAB) for _ in range(50))) for i in range(20)]
+    quote = items[3][1].split()[10:30]
+    quote[6], quote[13] = "oops", "alas"
+    c = spark.createDataFrame([(1, " ".join(quote)), (2, " ".join(items[4][1].split()[10:26]))], "rec_id long, text string")
+    i = spark.createDataFrame(items, "index string, stem string")
+    got = [tuple(r) for r in leakage.leaked_items(c, i, "rec_id", "text", "index", "stem").collect()]
+    assert got == [(1, "3", 20)]
+
+
 def test_leaks_with_empty_tables(spark):
     c = spark.createDataFrame([(1, "a b c d e f")], "rec_id long, text string")
     i = spark.createDataFrame([("1", "a b c d e f")], "index string, stem string")
