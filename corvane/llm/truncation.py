@@ -148,8 +148,9 @@ def strict_prefixes(texts: DataFrame, id_col: str, text_col: str, head: int = HE
     return long.join(nxt.where(F.col("n").startswith(F.col("t"))).select("t"), "t").select(id_col)
 
 
-def is_cut(stopped: Column, raw_longer: Column | None = None) -> Column:
-    """Verdict over the columns of ending_evidence. An ending seen nowhere else is judged by the shorter
+def is_cut(stopped: Column, raw_longer: Column | None = None, prefix: Column | None = None) -> Column:
+    """Verdict over the columns of ending_evidence. A strict prefix of a longer text that doesn't stop is
+    cut, whatever its ending does elsewhere. An ending seen nowhere else is judged by the shorter
     context, and if that is new too, by a raw length above the text's."""
     own = F.lit(1)  # the text itself stops there
     verdict = F.lit(None).cast("boolean")
@@ -157,7 +158,8 @@ def is_cut(stopped: Column, raw_longer: Column | None = None) -> Column:
         on, stop = F.col(f"on{n}"), F.greatest(F.col(f"stop{n}") - own, F.lit(0))
         verdict = F.when(on + stop > 0, stop < STOP_SHARE * (on + stop)).otherwise(verdict)
     unknown = raw_longer if raw_longer is not None else F.lit(False)
-    return F.coalesce(F.col("open") | (F.coalesce(verdict, unknown) & ~stopped) | (F.col("marked") & ~stopped), F.lit(False))
+    whole = prefix if prefix is not None else F.lit(False)
+    return F.coalesce(F.col("open") | (whole & ~stopped) | (F.coalesce(verdict, unknown) & ~stopped) | (F.col("marked") & ~stopped), F.lit(False))
 
 
 def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: str | None = None, more: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
@@ -173,7 +175,8 @@ def find_truncated(texts: DataFrame, id_col: str, text_col: str, raw_len_col: st
     raw = F.col(raw_len_col) > F.length(text_col) if raw_len_col else F.lit(None).cast("boolean")
     out = e.join(texts.select(id_col, F.coalesce(raw, F.lit(False)).alias("raw_longer")), id_col).join(pre, id_col, "left")
     stopped = F.col("word").rlike(_STOPPED) & ~F.col("word").isin(*ABBREVIATIONS)
-    return out.select(id_col, is_cut(stopped, F.col("raw_longer")).alias("cut"), "marked", "open", F.coalesce("prefix_of_longer", F.lit(False)).alias("prefix_of_longer"), "raw_longer", "word", "on2", "stop2", "on1", "stop1")
+    longer = F.coalesce("prefix_of_longer", F.lit(False))
+    return out.select(id_col, is_cut(stopped, F.col("raw_longer"), longer).alias("cut"), "marked", "open", longer.alias("prefix_of_longer"), "raw_longer", "word", "on2", "stop2", "on1", "stop1")
 
 
 def truncation_rates(rows: DataFrame, found: DataFrame, id_col: str, by: str) -> DataFrame:

@@ -41,6 +41,14 @@ def test_strict_prefixes_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_a_prefix_of_a_longer_copy_is_cut_whatever_its_ending(spark):
+    lead = "The tall red wheel weighs much more than the old wet block and rests near the wall with"
+    rows = [(1, lead + " no loss"), (2, lead + " no loss of energy in the steel rope."), (3, "Here the load is held with no loss"), (4, "There a rope runs with no loss"), (5, lead.replace("tall", "long") + " no loss.")]
+    rows.append((6, rows[4][1] + " So it stays."))
+    got = {r.i: r.cut for r in truncation.find_truncated(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+
+
 def test_open_formulas():
     assert truncation.unbalanced("so $x = 1") and truncation.unbalanced("so \\frac{1") and truncation.unbalanced("it is \\[a + b")
     assert not truncation.unbalanced("so $x$ and \\(y\\) and {z}") and not truncation.unbalanced("a bill of \\$5")
