@@ -118,8 +118,11 @@ def core(text: str | None) -> str:
 
 
 def copied_share(text: str | None, question: str | None, k: int = 3) -> float:
-    """Share of the words of `text` that stand in k-word runs of `question`; 0 for fewer than 2k words."""
+    """Share of the words of `text` that stand in k-word runs of `question`; for fewer than 2k words, 1 if
+    they are the whole question and 0 otherwise."""
     a, b = words(text), words(question)
+    if a and a == b:
+        return 1.0
     if len(a) < 2 * k or len(b) < k:
         return 0.0
     runs = set(zip(*[b[i:] for i in range(k)]))

@@ -127,3 +127,8 @@ def test_language_and_core():
     assert pairs.language("$x$ 42") is None and pairs.language(None) is None
     assert pairs.core("<think>a</think>") == pairs.core("Answer:") == pairs.core("$$ $$") == pairs.core("null") == pairs.core("​") == pairs.core("\\boxed{}") == pairs.core(None) == ""
     assert pairs.core("\\boxed{B}") == "B" and pairs.core("42") == "42" and pairs.copied_share("a b c d e f", "a b c d e f") == 1.0
+
+
+def test_short_questions_can_be_copied():
+    assert pairs.copied_share("what is the mass", "What is the **mass**?") == 1.0 and pairs.copied_share("Why", "Why?") == 1.0
+    assert pairs.copied_share("the mass", "What is the mass?") == pairs.copied_share("", "") == pairs.copied_share(None, None) == 0.0
