@@ -14,15 +14,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir); a temporary
-    folder is set only where the session names none, as in local tests."""
+    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir). Where the session names none,
+    a temporary folder is set if the master is local, and an error tells so if it is not: executors of
+    several machines would each write to a folder of their own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+MOST_BITS = 27  # of a bitset: 16 MB at any size of the input
+
+
+def md5_of(text: Column) -> Column:
+    """16-byte digest of a text, for joins that need not exchange the text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def hash_bitset(df: DataFrame, column: str, most_bits: int = MOST_BITS) -> tuple[int, object]:
+    """(bits, numpy uint8 array): the bitset over the first `bits` bits of the 64-bit hashes in `column`, bit i
+    at place i % 8 of byte i // 8.
+
+    About 64 bits a distinct hash, 2**most_bits at most; a fuller bitset only lets more through. Bitmaps of
+    32,768 bits are made in the tasks and merged by partial aggregation, and only they come to the driver."""
+    import numpy as np
+
+    n = max(1, df.agg(F.approx_count_distinct(column)).first()[0])
+    bits = min(most_bits, max(16, (64 * n - 1).bit_length()))
+    place = F.shiftrightunsigned(F.col(column), 64 - bits) + 1
+    made = df.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    found = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    for r in made.collect():
+        at = (r["b"] - 1) * 4096
+        found[at : at + 4096] = np.frombuffer(r["m"], np.uint8)
+    return bits, found
+
+
 def label_key(c: Column) -> Column:
     """Label without regard to case and surrounding white space."""
     return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))

@@ -1,30 +1,29 @@
 """Broken prompt and response pairs (problem 1).
 
-Method: a multi-label linear classifier over hashed n-grams of the response's end and over features of
+Method: a multi-label linear classifier over hashed n-grams of the response's sentences and over features of
 the pair. It is trained on pairs of the table itself, and on synthetically emptied, refused, copied,
-swapped and truncated ones, with a threshold for each label calibrated on held-out synthetic pairs.
-The training sample is bounded (SAMPLE pairs); every row is scored.
+swapped and truncated ones, with a threshold for each label calibrated on held-out pairs of both kinds.
+The training sample is bounded (SAMPLE pairs); every row is scored, over its whole texts.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .canonical import words
+from .canonical import Hasher, window_hashes, words
 from .common import cut_lineage
-from .truncation import find_truncated, word_windows
+from .truncation import LEVELS, STOP_SHARE, continuations, cut_of, ending, ending_evidence, judge, own_counts, strict_prefixes, tails
 
 LABELS = ("empty", "refusal", "copied", "other_language", "truncated")
 SAMPLE = 4000  # pairs of the table that training may use
 HASHED = 1 << 13
-TAIL_SENTENCES = 2  # the end of a response whose n-grams are features
+ROUNDS = 80  # of training
 
 # Words that mark a language (function words and verb forms of plain prose).
 LANGUAGE_WORDS = {
@@ -73,6 +72,7 @@ _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\[a-zA-Z]+",
 _THOUGHT = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_SCRIPTS = re.compile("[^\x00-\u02ff]")
 _WEIGHT: dict[str, list] = {}
 
 
@@ -82,11 +82,11 @@ def language(text: str | None) -> str | None:
         return None
     prose = _QUOTED.sub(" ", _MATH.sub(" ", text))
     letters = Counter()
-    for c in prose:
-        if c.isalpha() and c > "\u02ff":
+    for c in () if prose.isascii() else _SCRIPTS.findall(prose):
+        if c.isalpha():
             letters["zh" if "\u4e00" <= c <= "\u9fff" else "ja" if "\u3040" <= c <= "\u30ff" else "ko" if "\uac00" <= c <= "\ud7af" else "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "arabic" if "\u0600" <= c <= "\u06ff" else "other"] += 1
-    latin = sum(c.isalpha() for c in prose) - sum(letters.values())
     if letters:
+        latin = sum(map(len, _WORD.findall(prose))) - sum(letters.values())
         script, n = letters.most_common(1)[0]
         if n * (3 if script in ("zh", "ja", "ko") else 1) > latin and n >= 4:
             return script
@@ -120,12 +120,15 @@ def core(text: str | None) -> str:
 def copied_share(text: str | None, question: str | None, k: int = 3) -> float:
     """Share of the words of `text` that stand in k-word runs of `question`; for fewer than 2k words, 1 if
     they are the whole question and 0 otherwise."""
-    a, b = words(text), words(question)
+    b = words(question)
+    return _share(words(text), b, set(zip(*[b[i:] for i in range(k)])), k)
+
+
+def _share(a: list[str], b: list[str], runs: set, k: int = 3) -> float:
     if a and a == b:
         return 1.0
     if len(a) < 2 * k or len(b) < k:
         return 0.0
-    runs = set(zip(*[b[i:] for i in range(k)]))
     hit = bytearray(len(a))
     for i, g in enumerate(zip(*[a[i:] for i in range(k)])):
         if g in runs:
@@ -133,33 +136,96 @@ def copied_share(text: str | None, question: str | None, k: int = 3) -> float:
     return sum(hit) / len(a)
 
 
-DENSE = ("bias", "empty_response", "empty_gold", "copied_response", "copied_gold", "language_differs", "cut", "open", "marked", "short")
+DENSE = (
+    "bias", "empty_response", "empty_gold", "copied_response", "copied_gold", "language_differs", "short",
+    "cut", "open", "marked", "stopped", *[f"{k}{n}" for n in LEVELS for k in ("goes", "stops")],
+)
+# the features that a label may weigh: planted defects exclude each other and real ones do not, so a label must not
+# learn from the traces of another
+OWN = {"empty": ("empty_response", "empty_gold"), "refusal": ("short",), "copied": ("copied_response", "copied_gold"), "other_language": ("language_differs",), "truncated": DENSE[7:]}
+NO_ENDING = (False, False, False, True, *[0.0, 0.0] * len(LEVELS))
+
+
+def ending_features(e) -> tuple:
+    """Features of a row of find_truncated, a mapping; the text's own stop is taken off."""
+    if e is None or e["cut"] is None:
+        return NO_ENDING
+    out = [e["cut"], e["open"], e["marked"] and not e["stopped"], e["stopped"]]
+    for n in LEVELS:
+        on, stop = e[f"on{n}"], max(0, e[f"stop{n}"] - 1)
+        goes = on + stop > 0 and stop < STOP_SHARE * (on + stop) and not e["stopped"]
+        out += [float(goes), float(on + stop > 0 and not goes)]
+    return tuple(out)
+
+
+class Questions:
+    """Language and word runs of questions, remembered up to a bound."""
 
+    def __init__(self, k: int = 3, most: int = 10_000):
+        self.k, self.most, self.seen = k, most, {}
 
-def dense_features(question, response, gold, cut: bool, open_: bool, marked: bool) -> list[float]:
+    def __call__(self, question):
+        got = self.seen.get(question)
+        if got is None:
+            if len(self.seen) > self.most:
+                self.seen.clear()
+            ws = words(question)
+            got = self.seen[question] = (language(question), ws, set(zip(*[ws[i:] for i in range(self.k)])))
+        return got
+
+
+def dense_features(question, response, gold, ending: tuple, known: Questions) -> list[float]:
     golds = [x for x in (gold or []) if x is not None]
     r = core(response)
     rest = _THOUGHT.sub(" ", response or "")
-    q_lang, r_lang = language(question), language(rest)
+    q_lang, q_words, q_runs = known(question)
+    r_lang = language(rest)
     answered = bool(r)
     return [
         1.0, float(not answered), float(not any(core(x) for x in golds)),
-        max(0.0, copied_share(rest, question) - 0.75) * 4, max(0.0, copied_share(" ".join(golds), question) - 0.75) * 4,
-        float(answered and q_lang is not None and r_lang is not None and q_lang != r_lang),
-        float(cut), float(open_), float(marked), float(len(r) < 40),
+        max(0.0, _share(words(rest), q_words, q_runs) - 0.75) * 4, max(0.0, _share(words(" ".join(golds)), q_words, q_runs) - 0.75) * 4,
+        float(answered and q_lang is not None and r_lang is not None and q_lang != r_lang), float(len(r) < 40), *map(float, ending),
     ]
 
 
-def ngram_features(response) -> list[int]:
-    """Hashed word 1- to 3-grams of the response's end, numbers typed."""
-    text = " ".join(re.split(r"(?<=[.!?])\s+|\n+", _THOUGHT.sub(" ", response or "").strip())[-TAIL_SENTENCES:])
-    ws = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d.]*", text.lower().replace("’", "'"))
-    ws = ["#" if w[0].isdigit() else w for w in ws]
-    return sorted({zlib.crc32(" ".join(ws[i : i + n]).encode("utf-8", "surrogatepass")) % HASHED for n in (1, 2, 3) for i in range(len(ws) - n + 1)})
+_GRAM_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d[\d.]*")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
+
+
+def sentences(response) -> list[list[str]]:
+    """All sentences of a response as words with typed numbers, without its thoughts."""
+    text = _THOUGHT.sub(" ", response or "").lower().replace("’", "'")
+    got = ([("#" if w[0].isdigit() else w) for w in _GRAM_WORD.findall(x)] for x in _SENTENCE.split(text))
+    return [x for x in got if x]
+
+
+class Grams:
+    """Hashed 1- to 3-grams of many sentences: `index` of each gram, `starts` of each sentence's, `pair` of each sentence."""
+
+    def __init__(self, per_pair: list[list[list[str]]], hasher: Hasher):
+        import numpy as np
+
+        flat = [x for pair in per_pair for x in pair]
+        self.pair = np.repeat(np.arange(len(per_pair)), [len(p) for p in per_pair]).astype(np.int64)
+        size = np.array([len(x) for x in flat], np.int64)
+        h = np.array(hasher([w for x in flat for w in x]), np.uint64)
+        owner = np.repeat(np.arange(len(flat)), size)
+        ends = np.cumsum(size)[owner] if len(flat) else size
+        at, parts, owners = np.arange(len(h)), [], []
+        for n in (1, 2, 3):
+            ok = at + n <= ends
+            parts.append((window_hashes(h, n)[ok[: max(0, len(h) - n + 1)]] % np.uint64(HASHED)).astype(np.int64))
+            owners.append(owner[ok])
+        index, by = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(by, kind="stable")
+        self.index, by = index[order], by[order]
+        self.starts = np.flatnonzero(np.diff(by, prepend=-1))
+        self.sentence = by
+        self.scale = 1 / np.sqrt(np.maximum(np.diff(np.append(self.starts, len(by))), 1))
 
 
 def broken_copies(rows: list[dict], seed: int) -> list[tuple]:
-    """Synthetic defective pairs made of sample rows: (label, question, response, gold)."""
+    """Synthetic defective pairs made of sample rows: (label, question, response, gold, response it was made of)."""
     rng = random.Random(seed)
     whole = [r for r in rows if core(r["response"]) and r["question"]]
     by_lang: dict = {}
@@ -173,71 +239,74 @@ def broken_copies(rows: list[dict], seed: int) -> list[tuple]:
         kind = rng.random()
         if kind < 0.12:
             hollow = rng.choice(["", "  ", "\n", "N/A", "null", "-", "...", "Answer:", "\\boxed{}", "$$ $$", "\u200b", "<think>" + t + "</think>", "<think>" + t])
-            out.append(("empty", q, hollow, g) if rng.random() < 0.6 else ("empty", q, t, rng.choice([[], None, [""], ["  "], ["N/A"], [None], ["", ""]])))
+            out.append(("empty", q, hollow, g, t) if rng.random() < 0.6 else ("empty", q, t, rng.choice([[], None, [""], ["  "], ["N/A"], [None], ["", ""]]), None))
         elif kind < 0.4:
             start = re.split(r"(?<=[.!?])\s+", t)[: rng.choice([0, 0, 1, 2])]
             say = rng.choice(REFUSALS)
             lead = rng.choice(OPENINGS)
             parts = [*start, (lead + " " + say).strip(), rng.choice(CLOSINGS)]
-            out.append(("refusal", q, " ".join(p for p in parts if p), g))
+            out.append(("refusal", q, " ".join(p for p in parts if p), g, t))
         elif kind < 0.55:
             twin = q.lower() if rng.random() < 0.3 else q
             twin = twin[: max(60, int(len(twin) * rng.uniform(0.7, 1)))] if rng.random() < 0.3 else twin
-            out.append(("copied", q, twin, g) if rng.random() < 0.7 else ("copied", q, t, [twin]))
+            out.append(("copied", q, twin, g, None) if rng.random() < 0.7 else ("copied", q, t, [twin], None))
         elif kind < 0.7 and len(langs) > 1:
             own = language(q)
             other = [x for x in langs if x != own]
             if own and other:
-                out.append(("other_language", q, rng.choice(by_lang[rng.choice(other)])["response"], g))
+                out.append(("other_language", q, rng.choice(by_lang[rng.choice(other)])["response"], g, None))
         elif len(t) > 60:
             at = rng.randrange(20, len(t) - 8)
             while t[at - 1] in " .!?\n" and at > 10:
                 at -= 1
-            out.append(("truncated", q, t[:at] + rng.choice(["", "", "", "...", " [truncated]", "\ufffd"]), g))
+            out.append(("truncated", q, t[:at] + rng.choice(["", "", "", "...", " [truncated]", "\ufffd"]), g, t))
     return out
 
 
 class LinearModel:
-    """Logistic regression over dense and hashed features, one column a label."""
+    """Logistic regression over dense and hashed features, one column a label. A pair has the n-gram score of
+    that of its sentences which scores highest, so a sentence that declines counts wherever it stands."""
 
-    def __init__(self):
-        self.dense = self.hashed = self.threshold = None
+    def __init__(self, dense=None, hashed=None, threshold=None):
+        self.dense, self.hashed, self.threshold = dense, hashed, threshold
 
-    @staticmethod
-    def _csr(rows: list[list[int]]):
+    def _best(self, grams: Grams, n: int):
+        """(score of each sentence and label, highest of each pair and label)."""
         import numpy as np
 
-        size = np.array([len(r) for r in rows], np.int64)
-        idx = np.array([x for r in rows for x in r], np.int64)
-        return idx, np.repeat(np.arange(len(rows)), size), 1 / np.sqrt(np.maximum(size, 1))
+        best = np.zeros((n, self.hashed.shape[1]))
+        if not len(grams.starts):
+            return np.zeros((0, self.hashed.shape[1])), best
+        z = np.add.reduceat(self.hashed[grams.index], grams.starts, axis=0) * grams.scale[:, None]
+        first = np.flatnonzero(np.diff(grams.pair, prepend=-1))
+        best[grams.pair[first]] = np.maximum.reduceat(z, first, axis=0)
+        return z, best
 
-    def scores(self, dense, grams):
+    def scores(self, dense, grams: Grams):
         import numpy as np
 
-        idx, row, scale = grams if isinstance(grams, tuple) else self._csr(grams)
         x = np.asarray(dense, np.float64)
-        z = x @ self.dense
-        if len(idx):
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            z[row[starts]] += np.add.reduceat(self.hashed[idx], starts, axis=0) * scale[row[starts], None]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.dense + self._best(grams, len(x))[1], -30, 30)))
 
-    def fit(self, dense, grams, y, weight, rounds: int = 80, rate: float = 0.3):
+    def fit(self, dense, grams: Grams, y, weight, rounds: int = ROUNDS, rate: float = 0.3):
         """Adam on the weighted log loss. Only refusals show in their wording alone, so the n-gram
         weights of the other labels are held smaller."""
         import numpy as np
 
         x = np.asarray(dense, np.float64)
-        idx, row, scale = self._csr(grams)
-        n, k = y.shape
-        shrink = np.array([3e-5 if label == "refusal" else 3e-2 for label in LABELS])
+        k = y.shape[1]
+        shrink = np.array([3e-5 if label == "refusal" else 0.3 for label in LABELS])
+        mask = np.array([[float(name == "bias" or name in OWN[label]) for label in LABELS] for name in DENSE])
         params = [np.zeros((x.shape[1], k)), np.zeros((HASHED, k))]
         m = [np.zeros_like(p) for p in params]
         v = [np.zeros_like(p) for p in params]
         for t in range(1, rounds + 1):
             self.dense, self.hashed = params
-            err = (self.scores(x, (idx, row, scale)) - y) * weight / weight.sum(axis=0)
-            grads = [x.T @ err + 1e-5 * params[0], np.stack([np.bincount(idx, weights=(err[:, j] * scale)[row], minlength=HASHED) for j in range(k)], 1) + shrink * params[1]]
+            z, best = self._best(grams, len(x))
+            err = (1 / (1 + np.exp(-np.clip(x @ self.dense + best, -30, 30))) - y) * weight / weight.sum(axis=0)
+            each = np.where(z >= best[grams.pair], err[grams.pair], 0.0) * grams.scale[:, None] if len(z) else z
+            g = [np.bincount(grams.index, weights=each[grams.sentence, j], minlength=HASHED) if len(z) else np.zeros(HASHED) for j in range(k)]
+            grads = [(x.T @ err + 1e-5 * params[0]) * mask, np.stack(g, 1) + shrink * params[1]]
             for p, g, a, b in zip(params, grads, m, v):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -245,63 +314,74 @@ class LinearModel:
         self.dense, self.hashed = params
         return self
 
-    def calibrate(self, dense, grams, y):
-        """Per label the threshold of best F1; in the middle of the range of equally good ones."""
+    def calibrate(self, s, y, weight):
+        """From the scores `s` of held-out pairs, per label the threshold of best F1; in the middle of the range of equally good ones. Also
+        keeps held-out (precision, recall) per label in `held_out`."""
         import numpy as np
 
-        s = self.scores(dense, grams)
-        self.threshold = []
+        self.threshold, self.held_out = [], {}
         grid = np.linspace(0.05, 0.95, 91)
-        for j in range(y.shape[1]):
+        for j, label in enumerate(LABELS):
+            w, yes = weight[:, j], y[:, j] > 0
             f = []
             for t in grid:
                 p = s[:, j] >= t
-                tp = (p & (y[:, j] > 0)).sum()
-                f.append(2 * tp / max(1, p.sum() + y[:, j].sum()))
+                f.append(2 * (w * (p & yes)).sum() / max(1e-9, (w * p).sum() + (w * yes).sum()))
             best = np.flatnonzero(np.array(f) >= max(f) - 1e-9)
             self.threshold.append(float(grid[best].mean()))
+            p = s[:, j] >= self.threshold[-1]
+            tp = (w * (p & yes)).sum()
+            self.held_out[label] = (float(tp / max(1e-9, (w * p).sum())), float(tp / max(1e-9, (w * yes).sum())))
         return self
 
 
-def train(pairs: DataFrame, windows: DataFrame, id_col: str = "id", sample: int = SAMPLE, seed: int = 42) -> LinearModel:
-    """Fits on at most `sample` pairs in hash order and their broken copies. Pairs of the table count as
-    whole, except for defects that a first fit, or a feature, already sees in them."""
+def train(rows: list[dict], broken: list[tuple], endings: list, seed: int = 42) -> LinearModel:
+    """Fits on sample rows (question, response, gold) and their broken copies. `endings`: what find_truncated says of
+    each of both, or None.
+
+    All pairs count, in training and in calibration: those of the table as free of the defects that were not
+    planted in them, though some have one. Only for refusals, which show in their wording alone, pairs of the table that a
+    first fit takes for one are left out."""
     import numpy as np
 
-    spark = pairs.sparkSession
-    rows = [r.asDict() for r in pairs.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).select("question", "response", "gold").collect()]
-    made = [("", r["question"], r["response"], r["gold"]) for r in rows] + broken_copies(rows, seed) + broken_copies(rows, seed + 1)
-    frame = spark.createDataFrame([(i, m[2]) for i, m in enumerate(made)], "i long, t string")
-    seen = {r["i"]: r for r in find_truncated(frame, "i", "t", windows=windows).collect()}
-    dense, grams, y = [], [], np.zeros((len(made), len(LABELS)))
-    for i, (label, q, t, g) in enumerate(made):
-        e = seen.get(i)
-        dense.append(dense_features(q, t, g, bool(e and e["cut"]), bool(e and e["open"]), bool(e and e["marked"])))
-        grams.append(ngram_features(t))
+    made = [("", r["question"], r["response"], r["gold"], None) for r in rows] + broken
+    k = len(LABELS)
+    if not made:
+        return LinearModel(np.zeros((len(DENSE), k)), np.zeros((HASHED, k)), [2.0] * k)
+    ends = [ending_features(e) for e in endings]
+    known, rng, y = Questions(), random.Random(seed), np.zeros((len(made), k))
+    dense, texts = [], []
+    for i, (label, q, t, g, _) in enumerate(made):
+        dense.append(dense_features(q, t, g, ends[i], known))
+        got = sentences(t)
+        # of long texts the ends and some others; of refusals all, as any may be the one that declines
+        texts.append(got if len(got) <= 4 or label == "refusal" else [got[0], *rng.sample(got[1:-1], 2), got[-1]])
         if label:
             y[i, LABELS.index(label)] = 1
-    dense = np.array(dense) if dense else np.zeros((0, len(DENSE)))
-    if not len(dense):
-        m = LinearModel()
-        m.dense, m.hashed, m.threshold = np.zeros((len(DENSE), len(LABELS))), np.zeros((HASHED, len(LABELS))), [2.0] * len(LABELS)
-        return m
+    dense, hasher = np.array(dense), Hasher()
     real = np.arange(len(made)) < len(rows)
-    col = {n: k for k, n in enumerate(DENSE)}
-    # what a feature shows for certain, also in the synthetic pairs (a copied question may be cut as well)
-    sure = np.stack([
-        dense[:, [col["empty_response"], col["empty_gold"]]].max(1), np.zeros(len(made)), (dense[:, [col["copied_response"], col["copied_gold"]]].max(1) > 0.4),
-        dense[:, col["language_differs"]], dense[:, col["cut"]],
-    ], 1) > 0
-    weight = np.where(sure & (y == 0), 0.0, 1.0)
     fold = np.arange(len(made)) % 4 == 3
-    fit = lambda w: LinearModel().fit(dense[~fold], [grams[i] for i in np.flatnonzero(~fold)], y[~fold], w[~fold] + 1e-9)
-    # pairs of the table may be defective: they count little against a label at first
-    for doubt in (0.1, 1.0):
-        first = fit(weight * np.where(real, doubt, 1.0)[:, None]).scores(dense, grams)
-        weight[real] *= first[real] < 0.3
-    model = fit(weight)
-    held = fold & (weight.min(axis=1) > 0)
-    return model.calibrate(dense[held], [grams[i] for i in np.flatnonzero(held)], y[held])
+    block = lambda where: Grams([texts[i] for i in np.flatnonzero(where)], hasher)
+    weight, refusal = np.ones(y.shape), LABELS.index("refusal")
+    trained = block(~fold)
+    doubt = np.where(real[:, None], 0.1, 1.0)
+    first = LinearModel().fit(dense[~fold], trained, y[~fold], (weight * doubt)[~fold], rounds=ROUNDS // 2)
+    taken = np.flatnonzero(real)[_all_scores(first, dense[real], [m[2] for m in made[: len(rows)]], hasher)[:, refusal] >= 0.3]
+    weight[taken, refusal] = 1e-9
+    model = LinearModel().fit(dense[~fold], trained, y[~fold], weight[~fold])
+    scores = _all_scores(model, dense[fold], [made[i][2] for i in np.flatnonzero(fold)], hasher)
+    return model.calibrate(scores, y[fold], weight[fold])
+
+
+def _all_scores(model: LinearModel, dense, texts: list, hasher: Hasher, step: int = 500):
+    """Scores over all sentences of the texts, a few hundred texts at a time."""
+    import numpy as np
+
+    got = [model.scores(dense[i : i + step], Grams([sentences(t) for t in texts[i : i + step]], hasher)) for i in range(0, len(texts), step)]
+    return np.concatenate(got) if got else np.zeros((0, len(LABELS)))
+
+
+EVIDENCE = ("cut", "open", "marked", "stopped", "prefix_of_longer", "raw_longer", *[f"{k}{n}" for n in LEVELS for k in ("on", "stop")])
 
 
 def find_defects(pairs: DataFrame, id_col: str = "id", sample: int = SAMPLE, seed: int = 42) -> DataFrame:
@@ -309,25 +389,53 @@ def find_defects(pairs: DataFrame, id_col: str = "id", sample: int = SAMPLE, see
 
     A null question (an item that is not known) tells neither copies nor languages. Null, empty and blank
     responses and golds are empty; a null in a gold list is no answer. Repeated rows count each; ids must be
-    unique, and a row with a null id is not told to be truncated. An empty table has no defects; other columns are ignored."""
+    unique, and a row with a null id is not told to be truncated. An empty table has no defects; other columns are ignored.
+    The classifier is fitted when this is called, on at most `sample` pairs in hash order; every row is scored."""
+    return defect_scores(pairs, id_col, sample, seed)[1]
+
+
+def defect_scores(pairs: DataFrame, id_col: str = "id", sample: int = SAMPLE, seed: int = 42) -> tuple[LinearModel, DataFrame]:
+    """(fitted model, rows of find_defects)."""
+    spark = pairs.sparkSession
     pairs = pairs.select(id_col, "question", "response", "gold", "raw_len")
     kind = pairs.schema[id_col].dataType.simpleString()
     questions = pairs.select(F.col("question").alias("t")).where(F.col("t").isNotNull()).distinct()
-    windows = cut_lineage(word_windows(pairs.select(F.col("response").alias("t")).unionByName(questions), "t"))
-    sent = pairs.sparkSession.sparkContext.broadcast(train(pairs, windows, id_col, sample, seed))
-    cut = find_truncated(pairs, id_col, "response", "raw_len", windows=windows).select(F.col(id_col).alias("_i"), "cut", "open", "marked")
-    src = pairs.join(cut, F.col(id_col) == F.col("_i"), "left").select(id_col, "question", "response", "gold", "cut", "open", "marked")
+    texts = pairs.select(F.col("response").alias("t")).unionByName(questions)
+    drawn = pairs.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample)
+    rows = [r.asDict() for r in drawn.collect()]
+    broken = broken_copies(rows, seed) + broken_copies(rows, seed + 1)
+    planted = cut_lineage(tails(spark.createDataFrame([(i, m[2]) for i, m in enumerate(broken)], "i long, t string"), "i", "t"))
+    endings = cut_lineage(tails(pairs, id_col, "response"))
+    both = endings.drop("id").unionByName(planted.drop("id"))
+    longer = cut_lineage(continuations(texts, "t", both))
+    verdicts = cut_lineage(judge(ending_evidence(endings, longer), pairs, id_col, "response", "raw_len", strict_prefixes(texts, "t")).select(F.col(id_col).alias("_i"), *EVIDENCE))
+    mine = verdicts.join(F.broadcast(drawn.select(F.col(id_col).alias("_j"))), F.col("_i") == F.col("_j")).collect()
+    by_id = {r["_i"]: r.asDict() for r in mine}
+    seen = {r["id"]: r.asDict() for r in ending_evidence(planted, longer).collect()}
+    for i, e in seen.items():
+        text, origin = broken[i][2], broken[i][4]
+        if origin:
+            # what the original adds is taken off, so that a copy is not told by the text it was cut from; and a stop
+            # more, as each text of the table has its own
+            for n, (on, stop) in zip(LEVELS, own_counts(origin, ending(text)[2])):
+                e |= {f"on{n}": max(0, e[f"on{n}"] - on), f"stop{n}": max(0, e[f"stop{n}"] - stop) + 1}
+        e |= {"prefix_of_longer": False, "raw_longer": False}
+        e["cut"] = cut_of(e)
+    model = train(rows, broken, [by_id.get(r[id_col]) for r in rows] + [seen.get(i) for i in range(len(broken))], seed)
+    # plain arrays, which any worker can load
+    sent = spark.sparkContext.broadcast((model.dense, model.hashed, model.threshold))
+    src = pairs.join(verdicts, F.col(id_col) == F.col("_i"), "left").select(id_col, "question", "response", "gold", F.struct(*EVIDENCE).alias("e"))
 
     def score(batches):
         import numpy as np
 
-        model = sent.value
+        scorer, known, hasher = LinearModel(*sent.value), Questions(), Hasher()
         for b in batches:
-            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 7)]))
+            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 5)]))
             if not rows:
                 continue
-            s = model.scores([dense_features(q, t, g, bool(c), bool(o), bool(m)) for q, t, g, c, o, m in rows], [ngram_features(r[1]) for r in rows])
-            i, j = np.nonzero(s >= np.array(model.threshold))
+            s = scorer.scores([dense_features(q, t, g, ending_features(e), known) for q, t, g, e in rows], Grams([sentences(r[1]) for r in rows], hasher))
+            i, j = np.nonzero(s >= np.array(scorer.threshold))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array([LABELS[x] for x in j], pa.string()), pa.array(s[i, j])], names=[id_col, "defect", "score"])
 
-    return src.mapInArrow(score, f"`{id_col}` {kind}, defect string, score double")
+    return model, src.mapInArrow(score, f"`{id_col}` {kind}, defect string, score double")

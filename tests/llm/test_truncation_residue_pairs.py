@@ -1,4 +1,8 @@
+import hashlib
+import os
 import random
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -6,11 +10,14 @@ from corvane.llm import pairs, residue, truncation
 
 PARTS = ["The {a} {n} weighs {x} kg and rests on a {m} table.", "We first need the {q}, which the {r} law gives.", "Because of the {m}, {x} s must be added.", "Hence the {q} grows in step with the {r} term."]
 
+# complete endings without a full stop: values, units, boxes, options, and formulas in three notations
+ENDS = ["Answer: {} m/s", "So we get {} N", "The result is \\boxed{{{}}}", "Final answer: ({2})", "Hence ${2} = {0} {1}^{{2}}$", "Hence \\({1}({2}) = e^{{-{0} t}}\\)", "Hence {1} = {0} {2} / {1}", "So \\[{2} \\approx {0}\\]"]
+
 
 def text(rng, n=None):
     pick = lambda s: rng.choice(s.split())
     body = [rng.choice(PARTS).format(a=pick("red old tall wet"), n=pick("wheel rope block lamp"), m=pick("steel wood glass clay"), q=pick("speed force load charge"), r=pick("second lens loop torque"), x=f"{rng.randint(1, 99)}.{rng.randint(1, 9)}") for _ in range(n or rng.randint(2, 6))]
-    return " ".join(body + [rng.choice(["Answer: {} m/s", "So we get {} N", "The result is \\boxed{{{}}}"]).format(rng.randint(1, 99))])
+    return " ".join(body + [rng.choice(ENDS).format(rng.randint(1, 99), rng.choice("abpqt"), rng.choice("FGMV"))])
 
 
 def test_held_out_cuts_are_found(spark):
@@ -32,13 +39,39 @@ def test_held_out_cuts_are_found(spark):
     assert rate == {None: (len(rows), len(found))}
 
 
+def test_complete_formulas_without_a_full_stop_are_whole(spark):
+    rng = random.Random(7)
+    lead = lambda: text(rng).rsplit(". ", 1)[0] + ". "
+    formulas = lambda: ["$V_{%d} = \\frac{a}{%d}$" % (rng.randint(1, 9), rng.randint(1, 9)), "\\(\\omega(k) = V e^{-U t}\\)", "$$k = \\sqrt{p^2 + t_{4}^2}$$", "omega = %d.77e2 rho / t" % rng.randint(1, 9)]
+    rows = [(i, lead() + "Hence " + rng.choice(formulas()) + rng.choice(["", ".", ""])) for i in range(200)]
+    rows += [(1000 + i, lead() + "Hence $V_{2} = \\fra") for i in range(5)] + [(2000 + i, lead() + "Because of the") for i in range(5)]
+    got = {r.i for r in truncation.find_truncated(spark.createDataFrame(rows, "i int, t string"), "i", "t").where("cut").collect()}
+    assert got == {i for i, _ in rows if i >= 1000}
+
+
 def test_strict_prefixes_equal_brute_force(spark):
     rng = random.Random(2)
     base = ["h" * 48 + text(rng) for _ in range(30)]
-    data = list(enumerate(base + [b[: rng.randint(50, len(b))] for b in base] + base[:3] + ["short", None, ""]))
-    want = {i for i, t in data if t and len(t) >= 48 and any(o and o != t and o.startswith(t) for _, o in data)}
-    got = {r.i for r in truncation.strict_prefixes(spark.createDataFrame(data, "i int, t string"), "i", "t").collect()}
-    assert got == want and want
+    data = base + [b[: rng.randint(50, len(b))] for b in base] + [b + " and more" for b in base[:9]] + base[:3] + ["short", "sh", "s", None, "", "\U0001f9ea", "\U0001f9ea\uffff", "\uffff"]
+    want = {t for t in data if t and any(o and o != t and o.startswith(t) for o in data)}
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame([(t,) for t in data], "t string")
+        got = {bytes(r.digest) for r in truncation.strict_prefixes(df, "t").collect()}
+        assert got == {hashlib.md5(t.encode()).digest() for t in want} and len(want) > 40
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_own_counts_equal_the_joined_evidence(spark):
+    rng = random.Random(8)
+    whole = [text(rng) for _ in range(12)]
+    cut = [(i, t[: rng.randrange(12, len(t) - 6)]) for i, t in enumerate(whole)]
+    ends = truncation.tails(spark.createDataFrame(cut, "i long, t string"), "i", "t")
+    for i, t in cut:
+        e = truncation.ending(t)
+        longer = truncation.continuations(spark.createDataFrame([(whole[i],)], "t string"), "t", ends)
+        r = truncation.ending_evidence(ends.where(F.col("id") == i), longer).first()
+        assert truncation.own_counts(whole[i], e[2]) == [(r[f"on{n}"], r[f"stop{n}"]) for n in truncation.LEVELS], t
 
 
 def test_a_prefix_of_a_longer_copy_is_cut_whatever_its_ending(spark):
@@ -109,10 +142,13 @@ def test_defects_on_held_out_pairs(spark):
     rows.append([9002, None, rows[1][2], ["5"], None, "x"])
     rows.append([9003, rows[1][1], "42", ["5"], 2, "x"])
     rows.append([9004, rows[1][1], "Unfortunately, the force does not vanish. I cannot neglect friction here, so it stays. Answer: 4 m/s", ["5"], None, "x"])
+    rows.append([9005, rows[1][1], "I must decline this request. " + rows[1][2], ["5"], None, "x"])  # whatever follows
     df = spark.createDataFrame(rows, "gen_id long, question string, response string, gold array<string>, raw_len int, cut string")
     got = {(r.gen_id, r.defect) for r in pairs.find_defects(df, "gen_id").collect()}
     hit = len(got & truth)
     assert hit >= 0.95 * len(truth) and hit >= 0.95 * len(got), (truth - got, got - truth)
+    assert (9005, "refusal") in got
+    got = {g for g in got if g[0] != 9005}
     assert not {g for g in got if g[0] > 9000}
 
 
@@ -132,3 +168,19 @@ def test_language_and_core():
 def test_short_questions_can_be_copied():
     assert pairs.copied_share("what is the mass", "What is the **mass**?") == 1.0 and pairs.copied_share("Why", "Why?") == 1.0
     assert pairs.copied_share("the mass", "What is the mass?") == pairs.copied_share("", "") == pairs.copied_share(None, None) == 0.0
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from corvane.llm import pairs
+df = s.createDataFrame([(i, "What is it?", "The red mass is %d kg." % i if i else "", ["5"], None) for i in range(20)], "gen_id long, question string, response string, gold array<string>, raw_len int")
+print("FOUND", sorted((r.gen_id, r.defect) for r in pairs.find_defects(df, "gen_id").collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "FOUND [(0, 'empty')]" in out.stdout, out.stderr[-2000:]
