@@ -114,7 +114,7 @@ def test_leaks_whole_partly_and_mistyped(spark):
 
 
 def test_quotations_without_numbers_bridge_a_replaced_word():
-    chain = lambda runs, numbers=(), stock=(): leakage._chain([(j, 100 + j + shift, j not in stock) for a, b, shift in runs for j in range(a, b - 4)], 60, 60, list(numbers), 5, 20)
+    chain = lambda runs, numbers=(), stock=(): leakage._chain([(j, 100 + j + shift, 31, j not in stock) for a, b, shift in runs for j in range(a, b - 4)], 60, 60, list(numbers), 5, 20)
     assert chain([(0, 10, 0), (11, 21, 0)]) == 21  # one word replaced
     assert chain([(0, 9, 0), (10, 31, 0)]) == 31
     assert chain([(0, 5, 0), (12, 33, 0)], stock=range(5)) >= 21  # a stock window at a fitting offset
@@ -123,6 +123,36 @@ def test_quotations_without_numbers_bridge_a_replaced_word():
     assert chain([(0, 19, 0)]) < 20 and chain([(0, 6, 0), (12, 18, 0), (24, 30, 0)]) < 20 and chain([(0, 25, 0)], stock=range(25)) < 20
 
 
+def test_slots_are_compared_one_by_one(spark):
+    rng = random.Random(11)
+    items = [(str(i), " ".join(rng.choice(VOCAB) if n % 6 else str(rng.randint(10, 999)) for n in range(1, 61))) for i in range(30)]
+
+    def other(k, every):
+        seen = 0
+        out = []
+        for w in items[k][1].split():
+            if w.isdigit():
+                seen += 1
+                w = str(int(w) + 1000) if seen % every == 0 else w
+            out.append(w)
+        return " ".join(out)
+
+    c = spark.createDataFrame([(1, other(1, 1)), (2, other(2, 3)), (3, other(3, 99)), (4, "w" + "q " * 30)], "rec_id long, text string")
+    i = spark.createDataFrame(items, "index string, stem string")
+    got = {(r.rec_id, r["index"]) for r in leakage.leaked_items(c, i, "rec_id", "text", "index", "stem").collect()}
+    assert got == {(2, "2"), (3, "3")}  # all numbers others; every third; none
+    text, item = "a mass of 7 kg".split(), "a mass of 5 kg".split()
+    kinds = [[template_word(w) for w in x] for x in (item, text)]
+    assert leakage._aligned(item, text, *kinds, [True], 5) == [(0, 0, 0b10111, False)]
+
+
+def test_short_items_are_held_word_for_word(spark):
+    i = spark.createDataFrame([("a", "mass 5"), ("b", "the speed of light"), ("c", ""), ("d", "***")], "index string, stem string")
+    c = spark.createDataFrame([(1, "the mass 5 kg"), (2, "mass 6"), (3, "find the speed of light now"), (4, "the speed light")], "rec_id long, text string")
+    got = {(r.rec_id, r["index"]) for r in leakage.leaked_items(c, i, "rec_id", "text", "index", "stem").collect()}
+    assert got == {(1, "a"), (3, "b")}
+
+
 def test_leaks_with_several_replaced_words(spark):
     rng = random.Random(10)
     items = [(str(i), " ".join(rng.choice(VOCAB) for _ in range(50))) for i in range(20)]
