@@ -143,7 +143,7 @@ def test_slots_are_compared_one_by_one(spark):
     assert got == {(2, "2"), (3, "3")}  # all numbers others; every third; none
     text, item = "a mass of 7 kg".split(), "a mass of 5 kg".split()
     kinds = [[template_word(w) for w in x] for x in (item, text)]
-    assert leakage._aligned(item, text, *kinds, [True], 5) == [(0, 0, 0b10111, False)]
+    assert leakage._aligned(item, text, leakage._at(kinds[0], 5), kinds[1], [True], 5) == [(0, 0, 0b10111, False)]
 
 
 def test_short_items_are_held_word_for_word(spark):
