@@ -77,4 +77,5 @@ def bucket_of_source(source: Column) -> Column:
 
 
 def question_of(messages: Column) -> Column:
-    return F.get(messages, F.lit(0))["content"]
+    """First user message; a record may open with a system message, which is no question."""
+    return F.get(F.filter(messages, lambda m: m["role"] == "user"), F.lit(0))["content"]

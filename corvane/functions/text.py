@@ -5,6 +5,8 @@ Each function takes and returns columns, and gives null for null unless it says
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,16 +18,24 @@ def audit_norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def shingle_set(norm: Column, k: int = 5) -> Column:
-    """Distinct runs of k words of a normalized text; a shorter text is one shingle, even an empty one.
-    The words are bound once, so the text is not split again for each shingle."""
+def _runs(norm: Column, k: int, made: Callable[[Column], Column]) -> Column:
+    """Distinct `made` of the runs of k words. The words are bound once, so the text is not split again for each run."""
     def runs(w: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-        return F.array_distinct(cut)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: made(F.slice(w, i, k))))
 
     return F.when(norm.isNotNull(), F.get(F.transform(F.array(F.split(norm, " ")), runs), F.lit(0)))
 
 
+def shingle_set(norm: Column, k: int = 5) -> Column:
+    """Distinct runs of k words of a normalized text; a shorter text is one shingle, even an empty one."""
+    return _runs(norm, k, lambda run: F.array_join(run, " "))
+
+
+def shingle_hashes(norm: Column, k: int = 5) -> Column:
+    """64-bit hashes of the runs in shingle_set."""
+    return _runs(norm, k, lambda run: F.xxhash64(run))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays as sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

@@ -3,72 +3,70 @@
 Texts with equal normal form are one class, so copies are never paired with each other; pairs are
 between classes, and membership tells which rows stand in one. The join itself is an equi-join on the
 shingles of each class's prefix: a pair of Jaccard similarity t shares at least one of the
-n - ceil(t n) + 1 rarest shingles of either side.
+n - ceil(t n) + 1 rarest shingles of either side. Shingles are exchanged as 64-bit hashes; what is left is
+verified on the words themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import audit_norm, preview, shingle_set
+from ..functions.text import audit_norm, jaccard, preview, shingle_hashes, shingle_set
 
 
-def classes(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(classes: rep, shingles, n), (members: id, rep). rep is the least id of the class; null texts are in none."""
-    normed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), audit_norm(F.col(text_col)).alias("norm"))
-    # the aggregate combines copies before the exchange, so a large class costs a row a task
-    reps = normed.groupBy("norm").agg(F.min("id").alias("rep"))
-    made = reps.select("rep", shingle_set(F.col("norm"), k).alias("shingles")).withColumn("n", F.size("shingles"))
-    return made, normed.join(reps, "norm").select("id", "rep")
-
-
-def _frequencies(c: DataFrame) -> DataFrame:
-    return c.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
+def _classes(normed: DataFrame, split: list[str], k: int) -> DataFrame:
+    """(split columns, rep, norm, hashes, n): rep is the least id of the class. Copies are combined before the exchange, so
+    a large class costs a row a task."""
+    reps = normed.groupBy(*split, "norm").agg(F.min("id").alias("rep"))
+    made = reps.select(*split, "rep", "norm", shingle_hashes(F.col("norm"), k).alias("hashes"))
+    return made.withColumn("n", F.size("hashes"))
 
 
-def _prefix(c: DataFrame, shared: DataFrame, t: float) -> DataFrame:
-    """Indexed part of each class's prefix. Shingles that no other class has are the rarest of all: they
-    take their places in the prefix, but are not exchanged or joined."""
-    each = c.select("rep", "n", F.explode("shingles").alias("s")).join(shared, "s")
-    own = W.partitionBy("rep")
+def _prefixes(c: DataFrame, split: list[str], t: float) -> DataFrame:
+    """(split columns, rep, n, s, pos): the indexed part of each class's prefix, in one order of all shingles by
+    rarity. Shingles of a single class are the rarest of all: they take their places in the prefix, but are not exchanged again or joined."""
+    each = c.select(*split, "rep", "n", F.explode("hashes").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    own = W.partitionBy(*split, "rep")
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "s"))
-    return each.withColumn("pos", pos).where(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("s", "rep", "n", "pos")
+    ranked = each.join(shared, "s").withColumn("pos", pos)
+    return ranked.where(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select(*split, "rep", "n", "s", "pos")
 
 
-def join_classes(a: DataFrame, b: DataFrame | None, t: float = 0.4) -> DataFrame:
-    """Pairs (a, b, jaccard) of classes with similarity of at least t; with `b` None, a self-join with a < b."""
-    if t <= 0:
-        raise ValueError("the threshold must be above 0")
-    if b is None:
-        shared = _frequencies(a).where(F.col("df") > 1)
-    else:
-        shared = _frequencies(a).join(_frequencies(b).withColumnRenamed("df", "df2"), "s").select("s", (F.col("df") + F.col("df2")).alias("df"))
-    pa = _prefix(a, shared, t)
-    pb = pa if b is None else _prefix(b, shared, t)
-    left = pa.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = pb.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    cand = left.join(right, "s")
-    if b is None:
+def _candidates(left: DataFrame, right: DataFrame, on: list[str], t: float, ordered: bool) -> DataFrame:
+    """(on columns but s, a, b) of classes that share an indexed shingle and may be similar enough by length and position."""
+    cand = left.join(right, on)
+    if ordered:
         cand = cand.where(F.col("a") < F.col("b"))
     # at most this many shingles can still be common, counted from the one that matched
     reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     need = F.lit(t / (1 + t)) * (F.col("na") + F.col("nb"))
+    keys = [*[c for c in on if c != "s"], "a", "b"]
     # both prefixes hold every common shingle before this one too, so the first common one has the full reach
-    cand = cand.where((F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).groupBy("a", "b").agg(F.max(reach).alias("reach"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    cand = cand.where(F.col("reach") >= need - 1e-9).select("a", "b")
-    sa = a.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    sb = (a if b is None else b).select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    scored = cand.join(sa, "a").join(sb, "b").withColumn("i", common)
-    return scored.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= t)
+    close = cand.where(F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
+    best = close.groupBy(*keys).agg(F.max(reach).alias("reach"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return best.where(F.col("reach") >= need - 1e-9).select(*keys)
+
+
+def _check(t: float) -> None:
+    if t <= 0:
+        raise ValueError("the threshold must be above 0")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, t: float = 0.4, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(pairs of class representatives, members) of one table."""
-    c, members = classes(df, id_col, text_col, k)
-    return join_classes(c, None, t), members
+    """(pairs of class representatives: a, b, jaccard, with a < b), (members: id, rep) of one table. Null texts are in no class."""
+    _check(t)
+    normed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), audit_norm(F.col(text_col)).alias("norm"))
+    c = _classes(normed, [], k)
+    p = _prefixes(c, [], t)
+    left, right = (p.select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
+    cand = _candidates(left, right, ["s"], t, True)
+    for x in "ab":
+        cand = cand.join(c.select(F.col("rep").alias(x), F.col("norm").alias(f"_{x}")), x)
+    pairs = cand.select("a", "b", jaccard(shingle_set(F.col("_a"), k), shingle_set(F.col("_b"), k)).alias("jaccard")).where(F.col("jaccard") >= t)
+    return pairs, normed.join(c.select("norm", "rep"), "norm").select("id", "rep")
 
 
 def linked_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -78,19 +76,34 @@ def linked_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(copies, "rep").join(links, "rep", "left").select(F.col("id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _in_comparisons(comparisons: list[tuple[str, str, str]], side: int) -> Column:
+    """Names of the comparisons in which a split is the given side, as an array."""
+    of: dict[str, list] = {}
+    for c in comparisons:
+        of.setdefault(c[side], []).append(c[0])
+    out = F.array().cast("array<string>")
+    for split, names in of.items():
+        out = F.when(F.col("split") == split, F.array(*[F.lit(n) for n in names])).otherwise(out)
+    return out
+
+
 def compare_splits(texts: DataFrame, comparisons: list[tuple[str, str, str]], t: float = 0.4, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Similarity joins between splits of one long table (split, id, text), shingled once.
+    """Similarity joins between splits of one long table (split, id, text), in one join.
 
     `comparisons`: (name, split of a, split of b). Returns (pairs: comparison, a, b, jaccard) between
     classes of a split, and (members: split, id, rep). Splits without rows give no pairs."""
+    _check(t)
     normed = texts.where(F.col("text").isNotNull()).select("split", "id", audit_norm(F.col("text")).alias("norm"))
+    c = _classes(normed.where(F.col("split").isin(*{x for _, a, b in comparisons for x in (a, b)})), ["split"], k)
+    p = _prefixes(c, ["split"], t)
+    left, right = (p.select(F.explode(_in_comparisons(comparisons, 1 + i)).alias("comparison"), "s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for i, x in enumerate("ab"))
+    cand = _candidates(left, right, ["comparison", "s"], t, False)
+    for i, x in enumerate("ab"):
+        own = c.select(F.explode(_in_comparisons(comparisons, 1 + i)).alias("comparison"), F.col("rep").alias(x), F.col("norm").alias(f"_{x}"))
+        cand = cand.join(own, ["comparison", x])
+    pairs = cand.select("comparison", "a", "b", jaccard(shingle_set(F.col("_a"), k), shingle_set(F.col("_b"), k)).alias("jaccard")).where(F.col("jaccard") >= t)
     reps = normed.groupBy("split", "norm").agg(F.min("id").alias("rep"))
-    made = reps.select("split", "rep", shingle_set(F.col("norm"), k).alias("shingles")).withColumn("n", F.size("shingles")).persist()
-    out = None
-    for name, a, b in comparisons:
-        p = join_classes(made.where(F.col("split") == a).drop("split"), made.where(F.col("split") == b).drop("split"), t).select(F.lit(name).alias("comparison"), "a", "b", "jaccard")
-        out = p if out is None else out.unionByName(p)
-    return out, normed.join(reps, ["split", "norm"]).select("split", "id", "rep")
+    return pairs, normed.join(reps, ["split", "norm"]).select("split", "id", "rep")
 
 
 def with_previews(pairs: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,11 @@ def seeded(uid: Column, seed: int = 42, salt: str = "") -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), uid.cast("string")))
 
 
+def head_limit(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """First n rows in the given order; all rows for n = 0."""
+    return df.orderBy(*order).limit(n) if n > 0 else df
+
+
 def keep_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First row of each key in the given order, which should be total; null is a key of its own.
     max_by keeps one row a key in the partial aggregate, so a key with a third of all rows is no hot task."""

@@ -44,6 +44,37 @@ def markdown(headers: list[str], rows: list) -> str:
     return "\n".join([show(headers), show(["-" * w for w in width]), *map(show, body)])
 
 
+def split_report(df: DataFrame, source: str, concept: str, level: str, multimodal: str, sources: list[str], concepts: list[str], levels: list[str]) -> DataFrame:
+    """(part, row, column, count) of one split in long form: counts by source, concept and level with their totals, by
+    modality, and sources by levels. The given values all have their rows, 0 where there is nothing; other values count in the
+    totals only. One pass over the data, in one grouping of few groups."""
+    spark = df.sparkSession
+    tall = df.groupBy(source, concept, level, F.coalesce(F.col(multimodal), F.lit(False)).alias("_m")).agg(F.count("*").alias("_n"))
+
+    def cell(part: str, row: Column, column: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), row.cast("string").alias("row"), column.cast("string").alias("column"))
+
+    count, parts = F.lit("count"), (("source", source), ("concept", concept), ("difficulty", level))
+    cells = [cell(p, F.col(c), count) for p, c in parts] + [cell(p, F.lit("TOTAL"), count) for p, _ in parts]
+    cells.append(cell("modality", F.when(F.col("_m"), "multimodal").otherwise("text-only"), count))
+    each = F.array(*cells, cell("source x difficulty", F.col(source), F.col(level)))
+    counted = tall.select(F.explode(each).alias("e"), "_n").groupBy("e").agg(F.sum("_n").alias("_n")).select("e.*", "_n")
+    wanted = [(part, r, "count") for part, rows in (("source", sources), ("concept", concepts), ("difficulty", levels)) for r in [*rows, "TOTAL"]]
+    wanted += [("modality", r, "count") for r in ("text-only", "multimodal")] + [("source x difficulty", r, c) for r in sources for c in levels]
+    fixed = spark.createDataFrame(wanted, "part string, row string, column string")
+    return fixed.join(counted, ["part", "row", "column"], "left").select("part", "row", "column", F.coalesce("_n", F.lit(0)).alias("count"))
+
+
+def report_markdown(report: DataFrame, title: str, sources: list[str], concepts: list[str], levels: list[str]) -> str:
+    """The rows of split_report, as few as the categories, as Markdown tables in the given order."""
+    got = {(r["part"], r["row"], r["column"]): r["count"] for r in report.collect()}
+    out = [f"## {title}  (n={got['source', 'TOTAL', 'count']})"]
+    for part, rows in (("source", [*sources, "TOTAL"]), ("concept", [*concepts, "TOTAL"]), ("difficulty", [*levels, "TOTAL"]), ("modality", ["text-only", "multimodal"])):
+        out += ["", f"### By {part}" if part != "modality" else "### Modality", markdown([part, "count"], [(r, got[part, r, "count"]) for r in rows])]
+    out += ["", "### Source x difficulty", markdown(["source", *levels], [(s, *[got["source x difficulty", s, c] for c in levels]) for s in sources])]
+    return "\n".join(out)
+
+
 def summary_markdown(summary: DataFrame, title: str) -> str:
     """The rows of split_summary, which are as few as the categories, as Markdown."""
     got = summary.orderBy("kind", "value").collect()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, match, prompts, reward, tags, text
 from ..operators import judging, purge, similarity, splits, stats
+from ..streaming import resume
+from .cases import REWARD_CASES
+from ..sources import readers, writers
 from ..sources.writers import strip_internal
 
 COMPARISONS = [
@@ -188,8 +191,11 @@ def boxed_last(spark, d):
 
 
 def strict_matches(spark, d):
-    gold = F.get("gold", F.lit(0))
-    return _answers(spark, d).select("gen_id", match.strict_match(F.col("boxes"), gold).alias("strict"), match.strict_match_any(F.col("boxes"), gold).alias("strict_any"), match.all_golds_matched(F.col("gold"), F.col("boxes")).alias("every"))
+    boxes, golds = F.coalesce("boxes", F.array().cast("array<string>")), F.coalesce("gold", F.array().cast("array<string>"))
+    return _answers(spark, d).select(
+        "gen_id", F.coalesce(F.exists(golds, lambda g: match.strict_match(boxes, g)), F.lit(False)).alias("strict"),
+        F.coalesce(F.exists(golds, lambda g: match.strict_match_any(boxes, g)), F.lit(False)).alias("strict_any"), match.all_golds_matched(F.col("gold"), F.col("boxes")).alias("every"),
+    )
 
 
 def tail_fallback(spark, d):
@@ -205,20 +211,25 @@ def yes_no(spark, d):
     return _t(spark, d, "generations").select("gen_id", extract.yes_no(F.concat(F.col("response"), F.when(F.col("gen_id") % 3 == 0, " Yes.").when(F.col("gen_id") % 3 == 1, " no").otherwise(""))).alias("verdict"))
 
 
+def _golds(spark, d):
+    g = _t(spark, d, "generations").select("gen_id", "response", F.posexplode("gold").alias("n", "gold"))
+    return g.where(F.col("gold").isNotNull())
+
+
 def gold_subparts(spark, d):
-    g = F.get("gold", F.lit(0))
-    broken = F.replace(F.replace(F.concat(F.lit("Answer:"), g), F.lit("(a)"), F.lit("\n(a)")), F.lit(" (b)"), F.lit("\n (b):"))
-    return _t(spark, d, "generations").where(g.isNotNull()).select("gen_id", F.array_join(extract.gold_parts(broken), "|").alias("parts"))
+    broken = F.replace(F.replace(F.concat(F.lit("Answer:"), F.col("gold")), F.lit("(a)"), F.lit("\n(a)")), F.lit(" (b)"), F.lit("\n (b):"))
+    return _golds(spark, d).select("gen_id", "n", F.array_join(extract.gold_parts(broken), "|").alias("parts"))
 
 
 def gold_lists(spark, d):
-    listed = F.when(F.col("gen_id") % 2 == 0, F.to_json("gold")).otherwise(F.get("gold", F.lit(0)))
-    return _t(spark, d, "generations").where(F.size("gold") > 0).select("gen_id", F.size(extract.gold_list(listed)).alias("n")).where(F.col("n").isNotNull())
+    first = F.get("gold", F.lit(0))
+    listed = F.when(F.col("gen_id") % 2 == 0, F.to_json("gold")).otherwise(first)
+    found = _t(spark, d, "generations").where(F.size("gold") > 0)
+    return found.select("gen_id", F.array_join(F.transform(extract.gold_list(listed), lambda x: F.coalesce(x, F.lit("-"))), "|").alias("golds"))
 
 
 def answer_forms(spark, d):
-    g = F.get("gold", F.lit(0))
-    return _t(spark, d, "generations").where(g.isNotNull()).select("gen_id", text.answer_norm(g).alias("plain"), text.answer_norm(g, commas=False).alias("no_commas"))
+    return _golds(spark, d).select("gen_id", "n", text.answer_norm(F.col("gold")).alias("plain"), text.answer_norm(F.col("gold"), commas=False).alias("no_commas"))
 
 
 def mcq_letter(spark, d):
@@ -243,11 +254,11 @@ def mcq_by_category(spark, d):
 def choice_prompts(spark, d):
     p = _t(spark, d, "phyx_mc")
     m = prompts.user_message(prompts.choice_prompt(F.col("question")), F.array("image"))
-    return p.select("index", prompts.choice_prompt(F.col("question")).alias("prompt"), F.size(m).alias("parts"), F.length(F.unbase64("image")).alias("image_bytes"))
+    return p.select("index", prompts.choice_prompt(F.col("question")).alias("prompt"), prompts.choice_prompt(F.col("question"), prompts.CHOOSE_LETTER).alias("letter_prompt"), F.size(m).alias("parts"), F.length(F.unbase64("image")).alias("image_bytes"))
 
 
 def open_prompts(spark, d):
-    return _t(spark, d, "oe_items").select("id", prompts.fill(prompts.SOLVE, F.col("question")).alias("prompt"))
+    return _t(spark, d, "oe_items").select("id", prompts.fill(prompts.SOLVE, F.col("question")).alias("prompt"), prompts.fill(prompts.SOLVE_BELOW, F.col("question")).alias("below"))
 
 
 # ---- reward and judge
@@ -261,24 +272,42 @@ def numeric_match(spark, d):
     return li.select("l_orderkey", "l_linenumber", (F.col("f.answer") == 1).alias("matched"))
 
 
+def numeric_forms(spark, d):
+    """Numbers written as fractions, powers of ten, sums and with units, against plain ones on both sides of 1 %."""
+    q, near = F.col("l_quantity").cast("int"), F.element_at(F.array(*[F.lit(x) for x in (1000, 1009, 1011)]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    part = F.col("l_suppkey") % 5
+    shown = (
+        F.when(part == 0, F.format_string("\\frac{%d}{1000}", q * near)).when(part == 1, F.format_string("%d \\times 10^{-3}", q * near)).when(part == 2, F.format_string("%d/10^3", q * near))
+        .when(part == 3, F.format_string("%d/1000 + 0*7", q * near)).otherwise(F.concat((q * near / 1000).cast("string"), F.lit(" \\mathrm{kg}")))
+    )
+    facts = reward.answer_facts(F.concat(F.lit("so $x$ is \\boxed{"), shown, F.lit("}")), q.cast("string"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", facts.alias("f")).select("l_orderkey", "l_linenumber", (F.col("f.answer") == 1).alias("matched"))
+
+
 def _rewarded(spark, d):
-    g = _t(spark, d, "generations").select("gen_id", "response", F.get("gold", F.lit(0)).alias("gold"))
-    return g.withColumn("facts", reward.answer_facts("response", "gold"))
+    return _golds(spark, d).withColumn("facts", reward.answer_facts("response", "gold"))
 
 
 def reward_components(spark, d):
     g = _rewarded(spark, d)
-    return g.select("gen_id", *[c.alias(n) for n, c in reward.components(F.col("facts"), F.col("response")).items()])
+    return g.select("gen_id", "n", *[c.alias(n) for n, c in reward.components(F.col("facts"), F.col("response")).items()])
 
 
 def reward_total(spark, d):
     parts = reward.components(F.col("facts"), F.col("response"))
     dirty = (F.col("gen_id") % 3) / 2
-    return _rewarded(spark, d).select("gen_id", reward.total(parts).alias("binary"), reward.total(parts, dense=True, audit_lambda=1.0, contamination=dirty).alias("dense"))
+    total = reward.total(parts, dense=True, audit_lambda=1.0, contamination=dirty)
+    return _rewarded(spark, d).select("gen_id", "n", reward.total(parts).alias("binary"), F.round(total, 6).alias("dense"))
+
+
+def reward_cases(spark, d):
+    df = spark.createDataFrame([(i, g, s) for i, (g, s, _, _) in enumerate(REWARD_CASES)], "case int, gold string, solution string")
+    f = reward.answer_facts("solution", "gold")
+    return df.select("case", f.alias("f")).select("case", F.col("f.answer").alias("answer"), F.col("f.number").alias("number"))
 
 
 def reward_format(spark, d):
-    return _rewarded(spark, d).select("gen_id", reward.components(F.col("facts"), F.col("response"))["format"].alias("format"))
+    return _rewarded(spark, d).select("gen_id", "n", reward.components(F.col("facts"), F.col("response"))["format"].alias("format"))
 
 
 def reward_conservation(spark, d):
@@ -299,15 +328,171 @@ def judge_liberal(spark, d):
 
 
 def judge_counts(spark, d):
-    j = judge_liberal(spark, d)
-    return j.agg(F.count("*").alias("total"), F.count_if("strict").alias("strict"), F.count_if("liberal").alias("liberal"), F.count_if(F.col("judged") > 0).alias("asked"))
+    """Rows, strict and liberal ones, rows that needed the judge, and rows whose candidates come from the tail."""
+    a = _answers(spark, d)
+    boxed = F.coalesce(match.not_blank(F.col("boxes")), F.array().cast("array<string>"))
+    used = a.select("gen_id", ((F.size(boxed) == 0) & (F.size(judging.candidates(F.col("boxes"), text.tail(F.col("response")))) > 0)).alias("fallback"))
+    j = judge_liberal(spark, d).join(used, "gen_id")
+    return j.agg(F.count("*").alias("total"), F.count_if("strict").alias("strict"), F.count_if("liberal").alias("liberal"), F.count_if(F.col("judged") > 0).alias("asked"), F.count_if("fallback").alias("fallback"))
+
+
+def judge_parts(spark, d):
+    """The form in which the judge sees every part of the gold: golds of one benchmark are lists, those of others are split at their marks."""
+    marked = F.replace(F.get("gold", F.lit(0)), F.lit("(b)"), F.lit("\n(b)"))
+    g = _t(spark, d, "generations").select("gen_id", "benchmark", "gold", marked.alias("whole"), extract.boxed_all("response").alias("boxes"))
+    golds = F.when(F.col("benchmark") == "physreason", F.col("gold")).otherwise(extract.gold_parts(F.col("whole")))
+    none = F.array().cast("array<string>")
+    ready = g.select("gen_id", F.coalesce(F.filter(golds, lambda x: x.isNotNull()), none).alias("golds"), F.coalesce(match.not_blank(F.col("boxes")), none).alias("preds"))
+    return judging.judge_golds(ready, "gen_id", "golds", "preds", _stub_judge, strict_first=False, tol="1%").select("gen_id", "liberal", "judged")
+
+
+def _stub_whole():
+    return lambda prompt: "yes" if len(prompt.split("REFERENCE SOLUTION: ")[1].split("\nCANDIDATES")[0]) % 2 == 0 and len(prompt.split("END OF THE RESPONSE:\n")[1]) % 2 == 0 else "NO"
+
+
+def judge_whole(spark, d):
+    a = _answers(spark, d).withColumn("whole", F.array_join("gold", "; "))
+    return judging.judge_whole(a, "gen_id", "whole", "boxes", "response", _stub_whole).select("gen_id", "strict", "liberal")
+
+
+def gold_lookup(spark, d):
+    """Golds by item id, of the items with an answer; generations of other items have none."""
+    golds = _t(spark, d, "oe_items").where("answer is not null").groupBy("id").agg(F.sort_array(F.collect_set("answer")).alias("golds"))
+    return judging.with_golds(_t(spark, d, "generations").select("gen_id", "id"), golds, "id").select("gen_id", F.array_join("golds", "|").alias("golds"), "err")
+
+
+def _flaky():
+    seen = set()
+
+    def call(prompt):
+        first = prompt not in seen
+        seen.add(prompt)
+        if len(prompt) % 3 == 0:
+            raise RuntimeError("down")
+        return "" if first and len(prompt) % 2 else "YES"
+
+    return call
+
+
+def model_retries(spark, d):
+    q = _t(spark, d, "oe_items").where("question is not null").select("id", "question").distinct()
+    r = judging.call_model(q, ["id"], "question", _flaky, attempts=2, wait=lambda n: 0.0)
+    return r.select("id", "reply", F.col("err").isNotNull().alias("failed"))
+
+
+def model_batches(spark, d):
+    q = _t(spark, d, "oe_items").where("question is not null").select("id", "question")
+    return judging.call_batches(q, ["id"], "question", lambda: lambda prompts: [str(len(p)) for p in prompts], size=50)
+
+
+def first_rows(spark, d):
+    return splits.head_limit(_t(spark, d, "phyx_mc").select("index", "answer").distinct(), 25, [F.col("index"), F.col("answer")])
+
+
+# ---- files: derived files are written by tasks, read back and compared with the tables
+
+
+def json_malformed(spark, d):
+    """Every third line of events is broken and every fifth blank; the others come back with their places."""
+    ev = _t(spark, d, "events").select("event_id", "props")
+    line = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("props").alias("response"))))
+    path = writers.scratch(spark)
+    ev.orderBy("event_id").coalesce(1).select(line.alias("value")).write.text(path)
+    return readers.jsonl_tolerant(spark, path, "id string, response string").select(F.col("_row_idx").cast("long").alias("row_idx"), "id", "response", F.col("_bad").isNotNull().alias("bad"))
+
+
+def json_dropped(spark, d):
+    ev = _t(spark, d, "events").select("event_id", "props")
+    path = writers.scratch(spark)
+    ev.select(F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("id")))).alias("value")).write.text(path)
+    return readers.jsonl_dropping(spark, path, "id string").select("id")
+
+
+def _corpus_file(spark, d, name):
+    path = writers.scratch(spark)
+    writers.jsonl(_t(spark, d, name).select("source", "images", "messages", "metadata"), path)
+    return path
+
+
+def corpus_subsets(spark, d):
+    return readers.corpus_by_split(readers.jsonl_strict(spark, _corpus_file(spark, d, "master_corpus"), readers.CORPUS))
+
+
+def held_out(spark, d):
+    return readers.held_out(readers.jsonl_strict(spark, _corpus_file(spark, d, "eval_olympiad_v2"), readers.CORPUS))
+
+
+def optional_items(spark, d):
+    """Numbered items of a file, and none of a file that is not there."""
+    path = writers.scratch(spark)
+    _t(spark, d, "phyx_mc").orderBy("index", "question", "answer").coalesce(1).select("index", "question").write.json(path)
+    schema = "index string, question string"
+    found = readers.numbered_items(readers.optional(spark, path, schema, readers.jsonl_tolerant))
+    return found.unionByName(readers.optional(spark, path + "-none", "id string, text string"))
+
+
+def tsv_items(spark, d):
+    path = writers.scratch(spark)
+    writers.tsv(_t(spark, d, "phyx_mc"), path)
+    return readers.tsv(spark, path).select("index", "question", F.length("image").alias("image_chars"), "answer", "category", F.coalesce("subfield", F.lit("")).alias("subfield"))
+
+
+def json_array(spark, d):
+    path = writers.scratch(spark)
+    items = _t(spark, d, "oe_items").select("id", "question", "answer", "subtopic").distinct()
+    # one array a block of ids, so that no file holds the whole table
+    blocks = items.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("_b")).agg(F.to_json(F.collect_list(F.struct("id", "question", "answer", "subtopic"))).alias("text"))
+    writers.files(blocks.select(F.format_string("%d.json", "_b").alias("name"), "text"), path, "name", "text")
+    return readers.json_whole(spark, path, "id string, question string, answer string, subtopic string")
+
+
+def json_object(spark, d):
+    path = writers.scratch(spark)
+    golds = _t(spark, d, "oe_items").where("id is not null and answer is not null").groupBy("id").agg(F.sort_array(F.collect_set("answer")).alias("g"))
+    blocks = golds.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("_b")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "g")))).alias("text"))
+    writers.files(blocks.select(F.format_string("%d.json", "_b").alias("name"), "text"), path, "name", "text")
+    return readers.json_map(spark, path).select("id", F.array_join("value", "|").alias("golds"))
+
+
+def problem_folders(spark, d):
+    """A folder an item; the sub-questions stand in the file against the order of their keys."""
+    path = writers.scratch(spark)
+    one = _t(spark, d, "oe_items").where("id is not null").groupBy("id").agg(F.min("question").alias("question"), F.min("subtopic").alias("subtopic"), F.min("answer").alias("answer"))
+    parts = F.struct(F.coalesce("question", F.lit("")).alias("b"), F.coalesce("subtopic", F.lit("")).alias("a"))
+    body = F.to_json(F.struct(parts.alias("question_structure"), F.to_json(F.array(F.coalesce("answer", F.lit("")))).alias("answer"), F.lit("hard").alias("difficulty")))
+    writers.files(one.select(F.concat("id", F.lit("/problem.json")).alias("name"), body.alias("text")), path, "name", "text")
+    return readers.problem_folders(spark, path).select("id", "problem_text", F.array_join("gold", "|").alias("gold"), "difficulty", F.size("images").alias("images"))
+
+
+def appended_rows(spark, d):
+    """Two appends of disjoint halves, the second through the resuming anti-join."""
+    path = writers.scratch(spark)
+    g = _t(spark, d, "generations").select("gen_id", "source")
+    writers.append_rows(g.where("gen_id % 2 = 0"), path)
+    resume.process_rest(g, path, ["gen_id"], lambda rest: rest)
+    return spark.read.parquet(path)
+
+
+def result_document(spark, d):
+    g = _graded(spark, d).withColumn("category", stats.category(F.col("subtopic"), F.col("topic")))
+    each = stats.accuracy(g, F.col("correct"), ["category"]).drop("accuracy")
+    doc = writers.result_document(stats.accuracy(g, F.col("correct")).drop("accuracy"), each)
+    kind = "struct<total:long,correct:long,categories:array<struct<category:string,total:long,correct:long>>>"
+    back = doc.select(F.from_json("value", kind).alias("r"))
+    return back.select("r.total", "r.correct", F.posexplode("r.categories").alias("place", "c")).select("total", "correct", "place", "c.category", F.col("c.total").alias("rows"), F.col("c.correct").alias("hits"))
+
+
+def split_report(spark, d):
+    return stats.split_report(_tagged(spark, d), "_source_bucket", "_concept", "_difficulty", "_multimodal", tags.SOURCES, [t for t, _ in tags.TOPICS], ["low", "mid", "high"])
 
 
 _NAMES = """normalize_text shingle_count near_dup_pairs near_dup_members overlap_pairs overlap_counts overlap_top overlap_previews purge_train
 purge_by_family purge_keys dedup_keep_first dedup_keep_last resume_todo resume_composite stratified_sample proportional_sample capped_topk record_tags
 split_tags_block four_way_split split_disjoint union_sources split_stats crosstab boxed_all boxed_last strict_matches tail_fallback response_tails
-yes_no gold_subparts gold_lists answer_forms mcq_letter mcq_accuracy mcq_by_category choice_prompts open_prompts numeric_match reward_components
-reward_total reward_format reward_conservation judge_liberal judge_counts""".split()
+yes_no gold_subparts gold_lists answer_forms mcq_letter mcq_accuracy mcq_by_category choice_prompts open_prompts numeric_match numeric_forms
+reward_components reward_total reward_cases reward_format reward_conservation judge_liberal judge_counts judge_parts judge_whole gold_lookup model_retries
+model_batches first_rows json_malformed json_dropped corpus_subsets held_out optional_items tsv_items json_array json_object problem_folders appended_rows
+result_document split_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 from .oracle import ORACLE  # noqa: E402, F401

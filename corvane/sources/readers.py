@@ -75,6 +75,21 @@ def corpus_by_split(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.coalesce("metadata.corpus_subset", F.lit("?")).alias("split"), F.col("source").alias("id"), text.alias("text"))
 
 
+def held_out(df: DataFrame) -> DataFrame:
+    """(id, text, norm) of held-out records: source, first message, and its normal form."""
+    from ..functions.text import audit_norm
+
+    text = F.get("messages", F.lit(0))["content"]
+    return df.select(F.col("source").alias("id"), text.alias("text"), audit_norm(text).alias("norm"))
+
+
+def numbered_items(lines: DataFrame, prefix: str = "phyx_") -> DataFrame:
+    """(id, text) of the rows of jsonl_tolerant: the id is the prefix and the row's place in its file, the text the
+    question, else the first message, else ''."""
+    text = F.coalesce(F.nullif("question", F.lit("")), F.get("messages", F.lit(0))["content"] if "messages" in lines.columns else F.lit(None), F.lit(""))
+    return lines.where(F.col("_bad").isNull()).select(F.concat(F.lit(prefix), F.col("_row_idx").cast("string")).alias("id"), text.alias("text"))
+
+
 def choice_items(df: DataFrame, prefix: str = "mc_") -> DataFrame:
     """(id, text) of choice items: the question, else the first message, else ''."""
     text = F.coalesce(F.nullif("question", F.lit("")), F.get("messages", F.lit(0))["content"] if "messages" in df.columns else F.lit(None), F.lit(""))

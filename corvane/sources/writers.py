@@ -21,6 +21,46 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tab-separated text with a header, quoted where needed; white space at the ends of fields is kept."""
+    df.write.mode(mode).csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def files(df: DataFrame, root: str, name: str, content: str) -> int:
+    """One small text file a row, named by the column `name` below `root`, written by the tasks; returns their number. For folders that
+    all executors see as a local path. A row written twice by a repeated task gives the same file."""
+    import os
+
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("files are written to mounted folders only")
+    base = root.removeprefix("file://")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                path = os.path.join(base, n)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def scratch(spark) -> str:
+    """A new folder for files of this session, below spark.checkpoint.dir, which all executors share; a temporary one where the
+    session names none and the master is local."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='corvane-files-')}/files-{uuid.uuid4().hex}"
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Appends as Parquet; each commit is whole or absent."""
     df.write.mode("append").parquet(path)

@@ -121,3 +121,60 @@ def test_call_model_retries(spark):
 
 def test_answer_norm(spark):
     assert spark.range(1).select(text.answer_norm(F.lit("\\text{A B} $1,0\\,0$")), text.answer_norm(F.lit(None).cast("string"), commas=False)).first()[:] == ("ab1,00", "")
+
+
+@pytest.mark.parametrize("s,v", [("\\frac{\\frac{1}{2}}{\\dfrac{3}{4}}", 2 / 3), ("2^3^2", 512.0), ("-2^2", -4.0), ("10^3}", 10.0), ("6//4", 1.0), ("2**-1", 0.5), ("010*2", 10.0), ("--3", 3.0), ("(2)(3)", None), ("\\left(1+2\\right)*3", 9.0), ("(-8)**0.5", None), ("1/0", 1.0), ("(" * 5000 + "1+1", None)])
+def test_arithmetic_binds_as_usual_and_falls_back_to_the_leading_number(s, v):
+    assert reward.number(s) == v
+
+
+def test_lines_of_latex():
+    line = reward.linear
+    assert line("\\frac{1}{\\frac{a}{b}} \\pi") == "(1)/((a)/(b))pi" and line("\\text{5 \\%} kg") == "5kg"
+    assert line("\\frac {1}{2}") == line("\\frac{1} {2}") == "\\frac{1}{2}" and line("\\frac{x^{2}}{3}") == "\\frac{x^{2}}{3}"
+    deep = "\\frac{" * 4 + "1" + "}{2}" * 4
+    assert line(deep) == "\\frac{(((1)/(2))/(2))/(2)}{2}" and line("\\frac{}{2}") == "\\frac{}{2}"
+
+
+def test_plain_answers_give_the_same_facts_in_either_engine(spark):
+    from corvane.plans.cases import REWARD_CASES
+
+    data = [(g, s) for g, s, _, _ in REWARD_CASES] + [("5", f"\\boxed{{{x}}}") for x in ("5", " 5.04 ", "-5", "+5.06", "1e1")] + [("0", "\\boxed{0.0000001}"), ("5", "\\boxed{5} \\frac{1}{2}")]
+    rows = spark.createDataFrame(data, "g string, s string").select("g", "s", reward.answer_facts("s", "g").alias("f")).collect()
+    for r in rows:
+        boxes = extract.balanced_boxes(r.s)
+        b = boxes[-1] if boxes else None
+        assert (r.f.boxed, r.f.answer, r.f.number) == (b, reward.answer_score(r.s, r.g, b), reward.number(b)), r
+
+
+def test_late_calls_time_out_and_batches_keep_their_rows(spark):
+    import time
+
+    df = spark.createDataFrame([(i, "slow" if i == 3 else f"p{i}") for i in range(10)], "id int, prompt string").coalesce(1)
+    got = {r.id: (r.reply, r.err) for r in judging.call_model(df, ["id"], "prompt", lambda: lambda p: time.sleep(5) if p == "slow" else "ok", limit=0.5).collect()}
+    assert got[3] == ("", "attempt 1: timeout after 0.5 s") and all(got[i] == ("ok", None) for i in got if i != 3)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def call(prompts):
+            sizes.add(1)
+            assert len(prompts) <= 4
+            return [p.upper() for p in prompts]
+
+        return call
+
+    back = judging.call_batches(df.withColumnRenamed("prompt", "reply"), ["id"], "reply", factory, size=4)
+    assert {r.id: r.reply for r in back.collect()} == {i: "SLOW" if i == 3 else f"P{i}" for i in range(10)} and sizes.value == 3
+    assert judging.call_batches(df.limit(0), ["id"], "prompt", factory).count() == 0
+
+
+def test_gold_lookup_and_whole_solutions(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (4, "d")], "id int, err0 string")
+    golds = spark.createDataFrame([("1", ["x"]), ("2", [])], "id string, golds array<string>")
+    assert {r.id: (r.golds, r.err) for r in judging.with_golds(df, golds, "id").collect()} == {1: (["x"], None), 2: ([], "no gold"), None: ([], "no gold"), 4: ([], "no gold")}
+    seen = spark.createDataFrame([(1, "5" * 4000, ["15"], "r" * 700), (2, "", ["5"], "r"), (3, "7", None, None), (4, None, [], "r")], "id int, g string, b array<string>, r string")
+
+    def factory():
+        return lambda p: "YES" if p.count("5") == 3001 and p.count("r" * 600) == 1 and "r" * 601 not in p or "[no box]" in p else "NO"
+
+    assert {r.id: (r.strict, r.liberal) for r in judging.judge_whole(seen, "id", "g", "b", "r", factory).collect()} == {1: (False, True), 2: (False, False), 3: (False, True), 4: (False, False)}

@@ -89,3 +89,17 @@ def test_resume_in_batch_and_stream(spark, tmp_path):
 def test_image_round_trip(spark):
     raw = base64.b64encode(b"abc").decode()
     assert spark.range(1).select(F.unbase64(F.lit(raw))).first()[0] == bytearray(b"abc")
+
+
+def test_files_tsv_and_numbered_items(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'a\t"q"\n b ', None), ("2", "", "x ")], "index string, question string, image string")
+    writers.tsv(df, str(tmp_path / "t"))
+    assert rows(readers.tsv(spark, str(tmp_path / "t"), "index string, question string, image string").select("index", F.coalesce("question", F.lit("")), "image")) == [("1", 'a\t"q"\n b ', None), ("2", "", "x ")]
+    assert writers.files(df.select(F.concat("index", F.lit("/q.txt")).alias("n"), "question"), str(tmp_path / "f"), "n", "question") == 2
+    assert (tmp_path / "f" / "1" / "q.txt").read_text() == 'a\t"q"\n b ' and writers.files(df.limit(0), str(tmp_path / "g"), "index", "question") == 0
+    with pytest.raises(ValueError):
+        writers.files(df, "s3://x", "index", "question")
+    (tmp_path / "i.jsonl").write_text('{"question":"q"}\n\n{broken\n{"messages":[{"role":"user","content":"m"}]}\n{}\n')
+    lines = readers.jsonl_tolerant(spark, str(tmp_path / "i.jsonl"), f"question string, messages {readers.MESSAGES}")
+    assert rows(readers.numbered_items(lines)) == [("phyx_0", "q"), ("phyx_3", "m"), ("phyx_4", "")]
+    assert readers.held_out(spark.createDataFrame([("s", None, [("user", "A b!")], None)], readers.CORPUS)).first()[:] == ("s", "A b!", "a b")

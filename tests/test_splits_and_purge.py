@@ -75,3 +75,15 @@ def test_statistics(spark):
     assert stats.accuracy(df, F.col("m")).first()[:2] == (3, 1)
     assert stats.accuracy(df.limit(0), F.col("m")).first().accuracy is None
     assert "| TOTAL | 3    |" in stats.summary_markdown(stats.split_summary(df, ["s"], "m"), "t")
+
+
+def test_head_limit_and_report(spark):
+    df = spark.createDataFrame([(3, "a", "low", True), (1, "a", "mid", None), (2, "z", None, False)], "i int, s string, d string, m boolean")
+    assert [r.i for r in splits.head_limit(df, 2, [F.col("i")]).collect()] == [1, 2] and splits.head_limit(df, 0, [F.col("i")]).count() == 3
+    report = stats.split_report(df, "s", "s", "d", "m", ["a", "b"], ["a"], ["low", "mid"])
+    got = {tuple(r)[:3]: r["count"] for r in report.collect()}
+    assert got["source", "a", "count"] == 2 and got["source", "b", "count"] == 0 and got["source", "TOTAL", "count"] == 3 and got["modality", "text-only", "count"] == 2
+    assert got["source x difficulty", "a", "mid"] == 1 and got["source x difficulty", "b", "low"] == 0 and ("source", "z", "count") not in got
+    shown = stats.report_markdown(report, "train", ["a", "b"], ["a"], ["low", "mid"])
+    assert "## train  (n=3)" in shown and "| b      | 0   | 0   |" in shown
+    assert {r["count"] for r in stats.split_report(df.limit(0), "s", "s", "d", "m", ["a"], ["a"], ["low"]).collect()} == {0}
