@@ -21,11 +21,13 @@ def p3_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.target_report(p3_pool(spark, d), table(spark, d, "mini_targets")).where(~F.col("met")).select("target_id")
+    """Targets that would need an inclusion probability above 1."""
+    return proportions.target_report(p3_pool(spark, d), table(spark, d, "mini_targets")).where("pressure > 1").select("target_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.target_report(p3_pool(spark, d), table(spark, d, "mini_targets")).select("target_id", "plan_name", "usable", "plan_usable", "met")
+    r = proportions.sample_report(p3_pool(spark, d), table(spark, d, "mini_targets"))
+    return r.select("target_id", "plan_name", "usable", "plan_usable", "met", "drawn", F.round("reached_share", 6).alias("reached_share"), "reason")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +146,26 @@ report as (
 )
 """
 
+# rows of a target in the sample: the allocation on sorted break points, then whole numbers passed from one start
+_P3_DRAWN = _P3 + """,
+mine as (select plan_name, uid, min(target_id) as target_id from hits group by 1, 2),
+sizes as (select t.plan_name, t.target_id, coalesce(c.n, 0) as n, coalesce(t.target_share * t.sample_rate, 0) * coalesce(w.plan_usable, 0) as quota, coalesce(t.min_rows, 0) as floor_rows
+  from mini_targets t left join (select target_id, count(*) as n from mine group by 1) c using (target_id) left join whole w on w.plan_name = t.plan_name),
+bounds as (select *, cast(least(floor_rows, n) as double) as lo, cast(n as double) as hi from sizes),
+points as (select plan_name, pt, sum(slope) as slope from (select plan_name, lo / quota as pt, quota as slope from bounds where quota > 0 union all select plan_name, hi / quota, -quota from bounds where quota > 0) group by 1, 2),
+slopes as (select plan_name, pt, sum(slope) over (partition by plan_name order by pt) as slope from points),
+gains as (select *, coalesce(lag(slope) over w * (pt - lag(pt) over w), 0) as g from slopes window w as (partition by plan_name order by pt)),
+walked as (select *, sum(g) over (partition by plan_name order by pt) as gained from gains),
+total as (select plan_name, sum(quota) as n, sum(lo) as floors from bounds group by 1),
+rates as (select plan_name, max_by(pt + case when slope > 1e-12 then (n - floors - gained) / slope else 0 end, pt) as rate from walked join total using (plan_name) where n - floors - gained >= -1e-9 group by 1),
+alloc as (select plan_name, target_id, greatest(lo, least(hi, coalesce(rate, 0) * quota)) as rows from bounds left join rates using (plan_name)),
+sums as (select *, coalesce(sum(rows) over (partition by plan_name order by target_id rows between unbounded preceding and 1 preceding), 0) + cast(('0x' || substr(md5('42:start:' || plan_name), 1, 8)) as bigint) / 4294967296 as base from alloc),
+drawn as (select plan_name, target_id, cast(floor(base + rows + 1e-9) - floor(base + 1e-9) as bigint) as drawn from sums)
+"""
+
 ORACLE = {
     "p3_found": _P3 + "select target_id from report where not met",
-    "p3_report": _P3 + "select target_id, plan_name, usable, plan_usable, met from report",
+    "p3_report": _P3_DRAWN + """select r.target_id, r.plan_name, usable, plan_usable, met, drawn, round(coalesce(drawn / nullif(sum(drawn) over (partition by r.plan_name), 0), 0), 6) as reached_share,
+  case when met then null when usable = 0 then 'no usable row' when usable < min_rows then 'fewer usable rows than min_rows' else 'fewer usable rows than its share asks for' end as reason
+  from report r join drawn d using (target_id) join mini_targets t using (target_id)""",
 }

@@ -70,18 +70,27 @@ def training_order(chosen: DataFrame) -> DataFrame:
     return chosen.repartitionByRange("mix_name", "position", "doc_id").sortWithinPartitions("mix_name", "position", "doc_id", "pass")
 
 
+SHARE_TOLERANCE = 0.005  # of the target share
+
+
 def mix_report(sizes: DataFrame, weights: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Reached against target, one row a (mix, source) of `weights`, also for sources without any
-    document. `met`: the tokens placed are within half of a percent, or half of a mean document, of the demand."""
+    """Reached against target, one row a (mix, source) of `weights`, also for sources without any document.
+
+    actual_share: of the tokens that the mix really has. `met`: it is the target share, up to SHARE_TOLERANCE of it or half a mean
+    document of the source. `reason` of one that is not: the source has no document, it is exhausted, or it has its tokens and
+    another source of the mix lacks its own, so that its share is larger."""
     plan = mix_plan(sizes, weights)
     got = chosen.groupBy(F.col("mix_name").alias("_m"), F.col("source").alias("_s")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("copies"), F.max("pass").alias("most_repeats"))
     full = chosen.groupBy(F.col("mix_name").alias("_f")).agg(F.sum("n_tokens").alias("mix_tokens"))
     out = plan.join(got, F.col("mix_name").eqNullSafe(F.col("_m")) & (F.col("source") == F.col("_s")), "left").join(full, F.col("mix_name").eqNullSafe(F.col("_f")), "left")
     tokens = F.coalesce("tokens", F.lit(0))
     doc = F.when(F.col("docs") > 0, F.col("available") / F.col("docs")).otherwise(0.0)
+    share = F.coalesce(F.try_divide(tokens, F.col("mix_tokens")), F.lit(0.0))
+    met = F.abs(share - F.col("target_share")) <= F.greatest(F.col("target_share") * SHARE_TOLERANCE, F.coalesce(F.try_divide(doc / 2 + 1, F.col("mix_tokens")), F.lit(0.0)))
+    lacks = tokens < F.col("demand") - F.greatest(F.col("demand") * SHARE_TOLERANCE, doc / 2 + 1)
+    reason = F.when(met, None).when(F.col("available") == 0, "no document").when(lacks, "source exhausted").otherwise("another source lacks tokens")
     return out.select(
         "mix_name", "source", "target_share", F.col("demand").alias("target_tokens"), tokens.alias("tokens"),
-        F.coalesce(F.try_divide(tokens, F.col("mix_tokens")), F.lit(0.0)).alias("actual_share"), F.coalesce("copies", F.lit(0)).alias("copies"),
-        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats",
-        (F.abs(tokens - F.col("demand")) <= F.greatest(F.col("demand") * 0.005, doc / 2 + 1)).alias("met"),
+        share.alias("actual_share"), F.coalesce("copies", F.lit(0)).alias("copies"),
+        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats", met.alias("met"), reason.alias("reason"),
     )

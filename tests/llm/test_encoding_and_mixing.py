@@ -65,7 +65,12 @@ def test_mix_reaches_shares_within_a_document(spark):
     report = {(r.mix_name, r.source): r for r in mixing.mix_report(s, w, chosen).collect()}
     total = sum(d[2] for d in docs)
     for key in (("m", "a"), ("m", "b"), ("n", "c")):
-        assert report[key].met and abs(report[key].tokens - report[key].target_tokens) <= 20
+        assert abs(report[key].tokens - report[key].target_tokens) <= 20
+    # shares are of what the mix really has
+    of_m = sum(r.tokens for k, r in report.items() if k[0] == "m")
+    assert all(abs(r.actual_share - r.tokens / of_m) < 1e-12 for k, r in report.items() if k[0] == "m")
+    assert report["n", "c"].met and report["n", "c"].reason is None
+    assert [(report["m", x].met, report["m", x].reason) for x in ("a", "tiny", "gone")] == [(False, "another source lacks tokens"), (False, "source exhausted"), (False, "no document")]
     assert report["m", "tiny"].tokens == 150 and not report["m", "tiny"].met and report["m", "tiny"].most_repeats == 3
     assert report["m", "gone"].tokens == 0 and not report["m", "gone"].met
     assert abs(report["n", "c"].target_tokens - total) < 1e-6 and report["n", "c"].most_repeats <= 4
