@@ -2,8 +2,9 @@
 
 Method: labelled residue exemplars are retrieved through an inverted index of their rarest terms;
 the TF-IDF containment of an exemplar in the passage window around the hit decides. Terms are pairs of
-adjacent words; unfilled template fields become one typed word, which is an exemplar by itself. Document
-frequencies are counted over all documents; the index is as large as the exemplar list.
+adjacent words; unfilled template fields become one typed word, which is an exemplar by itself. One pass over the texts
+keeps the places of exemplar terms; frequencies over all documents, retrieval and containment work on these. The index
+is as large as the exemplar list.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 # Exemplars by label.
 EXEMPLARS = {
     "filler": """
@@ -132,24 +136,28 @@ ANCHORS = 2  # rarest terms of an exemplar that retrieve it
 SLACK = 1  # words a window may be longer than its exemplar
 FIELD = "templatefield"
 
-_NAME = r"[A-Za-z][A-Za-z_.]{2,40}"
+# names of fields: of two characters at least, as formulas put single letters in braces
+_NAME = r"[A-Za-z_][\w.\-]+(?:\s*\|\s*\w+)*"
+_LETTERS = r"[A-Za-z][A-Za-z_.]{2,}\d*"  # for single braces, which formulas and code use too
 _FIELDS = re.compile(
     "|".join(
         [
-            rf"\{{\{{\s*{_NAME}\s*\}}\}}",
-            r"\{%[^{}%]{1,60}%\}",
+            rf"(?<![\w\\^_}}$])\{{\{{\s*{_NAME}\s*\}}\}}(?![_^])",
+            r"\{%[^{}%]+%\}",
             rf"<%=?\s*{_NAME}\s*%>",
-            rf"[$#]\{{\s*{_NAME}\s*\}}",
+            rf"[$#]\{{\s*{_LETTERS}\s*\}}",
+            r"[$#]\{\s*[A-Za-z]\w*\d\s*\}(?!\s*[_^=+*/$\\-])",
             rf"%\({_NAME}\)[sdfSDF]",
-            r"(?<![\w%])%[A-Z][A-Z_.]{2,40}%(?!\w)",
-            r"(?<!\w)__[A-Z][A-Z_.]{2,40}__(?!\w)",
+            r"(?<![\w%])%[A-Z][A-Z0-9_.]+%(?!\w)",
+            r"(?<!\w)__[A-Z][A-Z0-9_.]+__(?!\w)",
             rf"@@\s*{_NAME}\s*@@",
             rf"\[\[\s*{_NAME}\s*\]\]",
             rf"<<\s*{_NAME}\s*>>",
-            rf"\[\s*insert\s+{_NAME}(?:\s+[a-z_.]+)*\s*\]|\[\s*INSERT\s+[^\[\]]{{1,60}}\]",
+            r"<[A-Z]{2,}(?:_[A-Z0-9]+)+>",
+            rf"\[\s*insert\s+{_NAME}(?:\s+[a-z_.]+)*\s*\]|\[\s*INSERT\s+[^\[\]]+\]",
             rf"\[\s*(?:[Yy]our|YOUR)\s+{_NAME}\s*\]",
             rf"\b(?:TBD|TBC|TODO)\s*:\s*{_NAME}\s+(?:goes|GOES)\s+(?:here|HERE)",
-            rf"(?<![\w\\^_}}{{$#%\"'])\{{{_NAME}\}}(?![\w{{^_}}])",
+            rf"(?<![\w\\^_}}{{$#%\"'])\{{{_LETTERS}\}}(?![\w{{^_}}])",
         ]
     )
 )
@@ -162,7 +170,7 @@ def residue_words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_HIDDEN))
         text = "".join(c for c in text if not unicodedata.combining(c)).replace("’", "'")
-    if "{" in text or "%" in text or "[" in text or "_" in text or "@@" in text or "<<" in text or "TB" in text or "TODO" in text:
+    if "{" in text or "%" in text or "[" in text or "_" in text or "@@" in text or "<" in text or "TB" in text or "TODO" in text:
         text = _FIELDS.sub(f" {FIELD} ", text)
     return [w if not w[0].isdigit() or len(w) == 3 and w[0] in "45" and w.isdigit() else "#" for w in _WORD.findall(text.lower())]
 
@@ -175,26 +183,46 @@ def exemplar_list() -> list[tuple[str, list[str]]]:
     return [(label, residue_words(line)) for label, lines in EXEMPLARS.items() for line in lines.strip().splitlines()]
 
 
-def term_frequencies(df: DataFrame, text_col: str) -> tuple[int, dict]:
-    """Number of documents, and of those that hold each exemplar term, over all rows."""
-    known = {t for _, ws in exemplar_list() for t in _terms(ws)}
-    heads = {t[0] for t in known}
+def known_terms() -> dict[tuple, int]:
+    """Number of each term of the exemplars."""
+    return {t: n for n, t in enumerate(sorted({t for _, ws in exemplar_list() for t in _terms(ws)}))}
+
+
+def term_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, places, terms): where which exemplar terms stand in each text that holds one. All that
+    matching needs, made in the only pass over the texts."""
+    src = df.select(id_col, text_col)
+    kind = src.schema[id_col].dataType.simpleString()
+    number = known_terms()
+    heads = {t[0] for t in number}
+    field = number[(FIELD,)]
 
-    def count(batches):
-        n, seen = 0, Counter()
+    def find(batches):
+        get = number.get
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                if t:
-                    ws = residue_words(t)
-                    if not heads.isdisjoint(ws):
-                        seen.update(known.intersection(zip(ws, ws[1:])))
-                        if FIELD in ws:
-                            seen[(FIELD,)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(["", *(" ".join(t) for t in seen)]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
+            rows, places, terms = [], [], []
+            for n, t in enumerate(b.column(1).to_pylist()):
+                if not t:
+                    continue
+                ws = residue_words(t)
+                if heads.isdisjoint(ws):
+                    continue
+                at = [(i, x) for i, pair in enumerate(zip(ws, ws[1:])) if (x := get(pair)) is not None]
+                if FIELD in ws:
+                    at = sorted(at + [(i, field) for i, w in enumerate(ws) if w == FIELD])
+                if at:
+                    rows.append(n), places.append([i for i, _ in at]), terms.append([x for _, x in at])
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(places, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], names=[id_col, "places", "terms"])
 
-    got = {r["term"]: r["n"] for r in df.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return got.pop("", 0), {tuple(t.split(" ")): n for t, n in got.items()}
+    return src.mapInArrow(find, f"`{id_col}` {kind}, places array<int>, terms array<int>")
+
+
+def term_frequencies(places: DataFrame) -> dict[tuple, int]:
+    """Documents that hold each exemplar term, over all rows; as few as there are terms."""
+    names = {n: t for t, n in known_terms().items()}
+    got = places.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
+    return {names[r["t"]]: r["n"] for r in got}
 
 
 def build_index(docs: int, freq: dict) -> tuple[list, dict]:
@@ -214,38 +242,33 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, label, hits): documents that hold residue, by label; hits counts the matched windows.
 
     Null, empty and blank texts match nothing; repeated rows count each. Whole texts are read, with no
-    bound on length."""
-    src = df.select(id_col, text_col)
-    made, index = build_index(*term_frequencies(src, text_col))
-    heads = {t[0] for t in index}
-    kind = src.schema[id_col].dataType.simpleString()
+    bound on length. The terms' places and frequencies are found when this is called."""
+    kind = df.schema[id_col].dataType.simpleString()
+    places = cut_lineage(term_places(df, id_col, text_col))
+    made, index = build_index(df.count(), term_frequencies(places))
+    number = known_terms()
+    weights = [{number[t]: w for t, w in weight.items()} for _, _, weight, _ in made]
+    anchors = {number[t]: at for t, at in index.items()}
 
     def match(batches):
         for b in batches:
             at, labels, hits = [], [], []
-            for n, t in enumerate(b.column(1).to_pylist()):
-                if not t:
-                    continue
-                ws = residue_words(t)
-                if heads.isdisjoint(ws):
-                    continue
+            for n, (where, terms) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 found = Counter()
-                if FIELD in ws:
-                    found["template field"] += ws.count(FIELD)
-                for i, pair in enumerate(zip(ws, ws[1:])):
-                    for k, place in index.get(pair, ()):
-                        label, size, weight, total = made[k]
-                        start = max(0, i - place - SLACK)
-                        window = ws[start : i - place + size + SLACK]
-                        have = Counter(zip(window, window[1:]))
-                        if sum(w for x, w in weight.items() if x in have) >= coverage * total:
+                for i, term in zip(where, terms):
+                    for k, place in anchors.get(term, ()):
+                        label, size, _, total = made[k]
+                        # terms whose words all stand in the window, which is a little longer than the exemplar
+                        first, end = i - place - SLACK, i - place + size + SLACK - (size > 1)
+                        have = set(terms[bisect_left(where, first) : bisect_left(where, end)])
+                        if sum(w for x, w in weights[k].items() if x in have) >= coverage * total:
                             found[label] += 1
                 for label, c in found.items():
                     at.append(n), labels.append(label), hits.append(c)
             if at:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(labels), pa.array(hits, pa.int32())], names=[id_col, "label", "hits"])
 
-    return src.mapInArrow(match, f"`{id_col}` {kind}, label string, hits int")
+    return places.mapInArrow(match, f"`{id_col}` {kind}, label string, hits int")
 
 
 def split_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"):

@@ -92,11 +92,11 @@ def test_truncation_of_an_empty_table(spark):
 
 
 def test_residue_cases_and_look_alikes(spark):
-    bad = ["{{title}}", "Figure: [INSERT TOPIC HERE]", "Dear <%= user.name %>, welcome", "the %(term)s of it", "x __PAGE_TITLE__ y", "See ${section}.", "by {author} on", "[[due_date]]", "TBD: topic goes here", "{% block a_b %}{% endblock %}",
+    bad = ["{{title}}", "Figure: [INSERT TOPIC HERE]", "Dear <%= user.name %>, welcome", "the %(term)s of it", "x __PAGE_TITLE__ y", "See ${section}.", "by {author} on", "[[due_date]]", "TBD: topic goes here", "{% block a_b %}{% endblock %}", "{{id}}", "Hi {{ user1 | upper }}!", "{{item-name}}", "see ${price1} now", "\n[[q1]]\n", "<TITLE_HERE> by us", "%(x1)s of it", "__PAGE_2__ follows", "{% " + "x" * 90 + " %}", "q = ${solution} \\cdot V",
            "Body. Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found\nThe requested URL was not found on this server.", "PLEASE ENABLE JAVASCRIPT TO VIEW THIS PAGE.", "Seite nicht gefunden.", "La página: Lo sentimos, la página que busca no existe.",
            "text " * 40_000 + "Error establishing a database connection", "HTTP 503 - Service Unavailable", "Please  check back in 12​ minutes."]
     good = ["The peak at 404 keV was not found in the cork sample.", "Write ${{T}}^{{2}}$ with \\mathrm{min} and \\frac{abc}{def}", 'printf("%d %s\\n", n, name);', "Placeholders such as <mass> or [time] are common.", "The Latin word dolor means pain.", "In Python, f\"{x!r}\" inserts x",
-            "The service of the pump was unavailable for 4 min.", "An applet written in JavaScript shows the sled.", "Access to the drum was forbidden after 890 min.", "x_{max} and ${\\tau}_{B}$ and __init__", "", None, " \n", "Fill in the gap _____ yourself", '{"status": 200}', "error 5 percent or less"]
+            "The service of the pump was unavailable for 4 min.", "An applet written in JavaScript shows the sled.", "Access to the drum was forbidden after 890 min.", "x_{max} and ${\\tau}_{B}$ and __init__", "$a^{{ab}} = {h}_{{xy}}$", "so ${x1} = 3$ and ${r}_{f} = {R}^{{k}} r$", "a <b> c <TAG> d", "m[[0]] and [[1, 2]]", "", None, " \n", "Fill in the gap _____ yourself", '{"status": 200}', "error 5 percent or less"]
     df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(bad + good)] + [(0, bad[0], "l"), (None, "plain", "l")], "doc_id int, text string, label string")
     found = residue.find_residue(df)
     assert sorted({r.doc_id for r in found.collect()}) == list(range(len(bad)))
