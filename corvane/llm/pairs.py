@@ -23,7 +23,8 @@ from .truncation import LEVELS, STOP_SHARE, continuations, cut_of, ending, endin
 LABELS = ("empty", "refusal", "copied", "other_language", "truncated")
 SAMPLE = 4000  # pairs of the table that training may use
 HASHED = 1 << 13
-ROUNDS = 80  # of training
+ROUNDS = 120  # of training
+DOUBT = 0.1  # weight of the table's pairs in the first fit
 
 # Words that mark a language (function words and verb forms of plain prose).
 LANGUAGE_WORDS = {
@@ -35,33 +36,31 @@ LANGUAGE_WORDS = {
     "pt": "o a os as e é de do da dos uma um que em por com para se ao não no na como mais quando até então depois enquanto pelo".split(),
     "nl": "de het een en is van met voor bij uit als op niet we wordt wanneer dat te naar om heeft tot nog want dus er zijn".split(),
 }
-# Sentences that decline, and what stands before and after them.
-REFUSALS = """
-I can't help with this task.
-I cannot assist with that request.
-I won't be answering this one.
-I am not able to solve problems of this kind.
-I'm unable to answer this question.
-I have to decline to give an answer.
-I must decline this request.
-this request is outside what I can do.
-no solution can be provided by me.
-it isn't possible for me to work on this question.
-I must leave this question unanswered.
-Answering this is not something I'm permitted to do.
-My guidelines keep me from working through exam material.
-This falls under material I am unable to discuss.
-I cannot view images, so I will not attempt an answer.
-I don't have enough confidence to reply and would rather pass.
-I'd rather not answer this.
-Not comfortable answering that.
-No answer from me on this one, sorry.
-I will refrain from solving it.
-The request was declined.
-I do not feel able to respond to this.
-I am not allowed to provide a solution here.
-I prefer not to give a reply.
-""".strip().splitlines()
+# Ways to decline, by kind: beginnings, which take an action and its object, and whole sentences.
+REFUSALS = {
+    "unable": (
+        ["I can't", "I cannot", "I am not able to", "I'm unable to", "I'm afraid I can't", "it isn't possible for me to", "I do not feel able to", "I am in no position to"],
+        ["I can't help with this task.", "I cannot assist with that request.", "I'm unable to answer this question.", "it isn't possible for me to work on this question.", "I am not able to solve problems of this kind.", "I cannot view images, so I will not attempt an answer.", "This falls under material I am unable to discuss.", "This is beyond what I am able to do."],
+    ),
+    "unwilling": (
+        ["I won't", "I will not", "I am not going to", "I must decline to", "I have to decline to", "I refuse to", "I choose not to"],
+        ["I won't be answering this one.", "I have to decline to give an answer.", "I must decline this request.", "I will refrain from solving it.", "I decline."],
+    ),
+    "not allowed": (
+        ["I am not allowed to", "I'm not permitted to", "my guidelines don't let me", "the rules I follow keep me from trying to"],
+        ["I am not allowed to provide a solution here.", "Answering this is not something I'm permitted to do.", "My guidelines keep me from working through exam material.", "It would be against my rules to reply."],
+    ),
+    "impersonal": (
+        ["nobody here can", "this assistant does not"],
+        ["this request is outside what I can do.", "no solution can be provided by me.", "I must leave this question unanswered.", "No answer from me on this one, sorry.", "The request was declined.", "There will be no answer to this."],
+    ),
+    "preference": (
+        ["I'd rather not", "I would prefer not to", "I prefer not to", "I do not wish to", "I'm not comfortable trying to"],
+        ["Not comfortable answering that.", "I prefer not to give a reply.", "I don't have enough confidence to reply and would rather pass.", "I'd rather not answer this.", "I will pass on this one."],
+    ),
+}
+ACTIONS = ["help with", "assist with", "answer", "solve", "work on", "respond to", "reply to", "give an answer to", "provide a solution to", "work through", "discuss", "attempt"]
+OBJECTS = ["this", "that", "it", "this question", "this request", "this task", "this problem", "that request", "problems of this kind", "this one", "exam material"]
 OPENINGS = ["", "", "", "As a language model,", "I must be honest:", "Unfortunately,", "Apologies,", "Regrettably", "Thanks for sharing this, but", "I appreciate the question, however", "I'm sorry, but", "Sorry,"]
 CLOSINGS = ["", "", "", "Please consult a teacher.", "Let me know if you have another topic.", "Feel free to ask me about something different.", "Perhaps a textbook would serve you better.", "Is there anything else you would like to talk about?", "Please rephrase the request."]
 # Stand-ins for a missing answer.
@@ -136,6 +135,11 @@ def _share(a: list[str], b: list[str], runs: set, k: int = 3) -> float:
     return sum(hit) / len(a)
 
 
+def _mostly(share: float) -> float:
+    """0 up to three quarters, 1 from 95 %."""
+    return min(1.0, max(0.0, share - 0.75) * 5)
+
+
 DENSE = (
     "bias", "empty_response", "empty_gold", "copied_response", "copied_gold", "language_differs", "short",
     "cut", "open", "marked", "stopped", *[f"{k}{n}" for n in LEVELS for k in ("goes", "stops")],
@@ -143,6 +147,7 @@ DENSE = (
 # the features that a label may weigh: planted defects exclude each other and real ones do not, so a label must not
 # learn from the traces of another
 OWN = {"empty": ("empty_response", "empty_gold"), "refusal": ("short",), "copied": ("copied_response", "copied_gold"), "other_language": ("language_differs",), "truncated": DENSE[7:]}
+WORDED = ("refusal",)  # labels that show in the wording alone; n-grams would tell the sample's topics for the others
 NO_ENDING = (False, False, False, True, *[0.0, 0.0] * len(LEVELS))
 
 
@@ -183,7 +188,7 @@ def dense_features(question, response, gold, ending: tuple, known: Questions) ->
     answered = bool(r)
     return [
         1.0, float(not answered), float(not any(core(x) for x in golds)),
-        max(0.0, _share(words(rest), q_words, q_runs) - 0.75) * 4, max(0.0, _share(words(" ".join(golds)), q_words, q_runs) - 0.75) * 4,
+        _mostly(_share(words(rest), q_words, q_runs)), _mostly(_share(words(" ".join(golds)), q_words, q_runs)),
         float(answered and q_lang is not None and r_lang is not None and q_lang != r_lang), float(len(r) < 40), *map(float, ending),
     ]
 
@@ -224,6 +229,14 @@ class Grams:
         self.scale = 1 / np.sqrt(np.maximum(np.diff(np.append(self.starts, len(by))), 1))
 
 
+def decline(rng: random.Random, kinds: tuple = tuple(REFUSALS)) -> str:
+    """One refusal of one of the kinds: composed, or a whole sentence."""
+    starts, whole = REFUSALS[rng.choice(kinds)]
+    if rng.random() < 0.5:
+        return rng.choice(whole)
+    return f"{rng.choice(starts)} {rng.choice(ACTIONS)} {rng.choice(OBJECTS)}."
+
+
 def broken_copies(rows: list[dict], seed: int) -> list[tuple]:
     """Synthetic defective pairs made of sample rows: (label, question, response, gold, response it was made of)."""
     rng = random.Random(seed)
@@ -242,7 +255,7 @@ def broken_copies(rows: list[dict], seed: int) -> list[tuple]:
             out.append(("empty", q, hollow, g, t) if rng.random() < 0.6 else ("empty", q, t, rng.choice([[], None, [""], ["  "], ["N/A"], [None], ["", ""]]), None))
         elif kind < 0.4:
             start = re.split(r"(?<=[.!?])\s+", t)[: rng.choice([0, 0, 1, 2])]
-            say = rng.choice(REFUSALS)
+            say = decline(rng)
             lead = rng.choice(OPENINGS)
             parts = [*start, (lead + " " + say).strip(), rng.choice(CLOSINGS)]
             out.append(("refusal", q, " ".join(p for p in parts if p), g, t))
@@ -289,13 +302,11 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.dense + self._best(grams, len(x))[1], -30, 30)))
 
     def fit(self, dense, grams: Grams, y, weight, rounds: int = ROUNDS, rate: float = 0.3):
-        """Adam on the weighted log loss. Only refusals show in their wording alone, so the n-gram
-        weights of the other labels are held smaller."""
+        """Adam on the weighted log loss. Each label has the features of OWN, and those of WORDED the n-grams too."""
         import numpy as np
 
         x = np.asarray(dense, np.float64)
         k = y.shape[1]
-        shrink = np.array([3e-5 if label == "refusal" else 0.3 for label in LABELS])
         mask = np.array([[float(name == "bias" or name in OWN[label]) for label in LABELS] for name in DENSE])
         params = [np.zeros((x.shape[1], k)), np.zeros((HASHED, k))]
         m = [np.zeros_like(p) for p in params]
@@ -305,8 +316,8 @@ class LinearModel:
             z, best = self._best(grams, len(x))
             err = (1 / (1 + np.exp(-np.clip(x @ self.dense + best, -30, 30))) - y) * weight / weight.sum(axis=0)
             each = np.where(z >= best[grams.pair], err[grams.pair], 0.0) * grams.scale[:, None] if len(z) else z
-            g = [np.bincount(grams.index, weights=each[grams.sentence, j], minlength=HASHED) if len(z) else np.zeros(HASHED) for j in range(k)]
-            grads = [(x.T @ err + 1e-5 * params[0]) * mask, np.stack(g, 1) + shrink * params[1]]
+            g = [np.bincount(grams.index, weights=each[grams.sentence, j], minlength=HASHED) if len(z) and label in WORDED else np.zeros(HASHED) for j, label in enumerate(LABELS)]
+            grads = [(x.T @ err + 1e-5 * params[0]) * mask, np.stack(g, 1) + 3e-5 * params[1]]
             for p, g, a, b in zip(params, grads, m, v):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -364,10 +375,15 @@ def train(rows: list[dict], broken: list[tuple], endings: list, seed: int = 42)
     block = lambda where: Grams([texts[i] for i in np.flatnonzero(where)], hasher)
     weight, refusal = np.ones(y.shape), LABELS.index("refusal")
     trained = block(~fold)
-    doubt = np.where(real[:, None], 0.1, 1.0)
-    first = LinearModel().fit(dense[~fold], trained, y[~fold], (weight * doubt)[~fold], rounds=ROUNDS // 2)
-    taken = np.flatnonzero(real)[_all_scores(first, dense[real], [m[2] for m in made[: len(rows)]], hasher)[:, refusal] >= 0.3]
-    weight[taken, refusal] = 1e-9
+    # a response of the table may decline: those that repeat weigh as one, all little in the first fit, and what that fit
+    # takes for a refusal is left out, also as part of a pair that is broken otherwise
+    plain = y[:, refusal] == 0
+    copies = Counter(m[2] for m, p in zip(made, plain) if p and core(m[2]))
+    weight[:, refusal] = [1 / copies.get(m[2], 1) if p else 1.0 for m, p in zip(made, plain)]
+    first = LinearModel().fit(dense[~fold], trained, y[~fold], (weight * np.where(real[:, None], DOUBT, 1.0))[~fold], rounds=ROUNDS // 2)
+    declines = _all_scores(first, dense[real], [m[2] for m in made[: len(rows)]], hasher)[:, refusal] >= 0.3
+    taken = {m[2] for m, d in zip(made, declines) if d}
+    weight[[bool(p and (m[2] in taken or m[4] in taken)) for m, p in zip(made, plain)], refusal] = 1e-9
     model = LinearModel().fit(dense[~fold], trained, y[~fold], weight[~fold])
     scores = _all_scores(model, dense[fold], [made[i][2] for i in np.flatnonzero(fold)], hasher)
     return model.calibrate(scores, y[fold], weight[fold])
