@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import leakage, mixing, overlap, pairs, proportions, residue, tokenize, truncation
-from .common import table
+from .common import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +45,12 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _sizes(spark, d).persist()
+    sizes = cut_lineage(_sizes(spark, d))
     return mixing.training_order(mixing.choose_documents(sizes, table(spark, d, "mix_weights")))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    sizes, w = _sizes(spark, d).persist(), table(spark, d, "mix_weights")
+    sizes, w = cut_lineage(_sizes(spark, d)), table(spark, d, "mix_weights")
     return mixing.mix_report(sizes, w, mixing.choose_documents(sizes, w))
 
 
