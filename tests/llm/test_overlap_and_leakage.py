@@ -73,6 +73,20 @@ def test_scattered_changes_keep_a_pair(spark):
     assert blocks.count() == len(got)
 
 
+def test_no_side_is_exchanged_again_for_the_blocks_of_the_other(spark):
+    rng = random.Random(7)
+    texts = [[rng.choice(VOCAB) for _ in range(rng.randint(5, 60))] for _ in range(12)]
+    e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "rec_id long, text string")
+    t = spark.createDataFrame([(100 + i, " ".join(x[1:])) for i, x in enumerate(texts * 5)], "rec_id long, text string").repartition(4)
+    kept = [overlap._met_once(overlap.text_bags(x, "rec_id", "text", [])) for x in (e, t)]
+    assert [x.count() for x in kept] == [12, 60] and [x.where("bag is not null").count() for x in kept] == [12, 12]
+    classes = [x.where("bag is not null").select("text_class", "bag") for x in kept]
+    small, whole = (overlap.class_pairs(*classes, block=n) for n in (2, 1000))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, whole.collect())) and small.count() == 12
+    plan = small._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "bag" not in plan
+
+
 def test_overlaps_of_empty_sides(spark):
     empty = spark.createDataFrame([], "rec_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "rec_id long, text string")
