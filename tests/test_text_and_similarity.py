@@ -55,6 +55,19 @@ def test_self_join_equals_nested_loop(spark, t):
     assert {(r.id, r.rep) for r in members.collect()} == {(i, reps[norm(x)]) for i, x in data}
 
 
+def test_texts_that_share_a_few_rare_shingles_are_no_candidates(spark):
+    # each text shares 4 of its 12 shingles with 5 others of its row and 4 with 5 others of its column
+    texts = [" ".join([f"r{r}w{j}" for j in range(8)] + [f"c{c}w{j}" for j in range(8)]) for r in range(6) for c in range(6)]
+    texts += [t + " more" for t in texts[:2]]
+    normed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, norm string")
+    p = similarity._prefixes(similarity._classes(normed, [], 5), [], 0.4)
+    left, right = (p.select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
+    assert {tuple(r) for r in similarity._candidates(left, right, ["s"], 0.4, True).collect()} == {(0, 36), (1, 37)}
+    pairs, members = similarity.near_duplicates(normed, "id", "norm", 0.4)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 36), (1, 37)}
+    assert {r.id for r in similarity.linked_members(pairs, members).where("links > 0").collect()} == {0, 1, 36, 37}
+
+
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         similarity.near_duplicates(spark.createDataFrame([], "id int, t string"), "id", "t", 0)
