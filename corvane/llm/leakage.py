@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .canonical import Hasher, stable_hash, template_word, window_hashes, words
@@ -26,6 +27,7 @@ COVER = 0.8  # least share of a chain's words that agree
 DISTINCT = 0.5  # least share of the asked words that stand in template windows that are no stock
 SLOTS = 0.6  # least share of a chain's own numbers that agree in windows that are no stock phrases
 PLAIN = 0.9  # least share of windows that are no stock phrases in a chain without numbers
+LITERAL = 0x5BD1E995D6E8FEB8  # tells keys of literal windows from those of templates
 STOCK = 0.01  # a window of more than this share of the items, and of more than two, is a stock phrase
 
 
@@ -42,14 +44,16 @@ class _Template(Hasher):
         return out
 
 
-def _windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], known: tuple | None = None, slots: bool = False) -> DataFrame:
+def _windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], known: tuple | None = None, slots: bool = False, both: bool = False) -> DataFrame:
     """(id, place, template, and slots if asked for) of each window of the given sizes; only those whose template may
-    be in `known`, a bitset, if given. slots: hash of the literal words."""
+    be in `known`, a bitset, if given. slots: hash of the literal words, and whether one is a number. both: the hash of the literal words, by LITERAL,
+    stands in a row of its own as a template too."""
     import numpy as np
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bits, sent = (known[0], df.sparkSession.sparkContext.broadcast(known[1])) if known is not None else (0, None)
     kind = src.schema["id"].dataType.simpleString()
+    number = np.uint64(stable_hash(template_word("0")))
 
     def run(batches):
         lexical, template = Hasher(), _Template()
@@ -59,27 +63,30 @@ def _windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], known:
             ends = np.cumsum(size)
             flat = [w for x in lists for w in x]
             kinds = np.array(template(flat), np.uint64)
-            exact = np.array(lexical(flat), np.uint64) if slots else kinds
+            exact = np.array(lexical(flat), np.uint64) if slots or both else kinds
             of = np.repeat(np.arange(len(lists)), size)
             for k in sizes:
-                made = window_hashes(kinds, k) ^ np.uint64(k)
-                if not len(made):
-                    continue
-                owner, at = of[: len(made)], np.arange(len(made))
-                ok = at + k <= ends[owner]
-                if sent is not None:
-                    pos = (made >> np.uint64(64 - bits)).astype(np.int64)
-                    ok &= ((sent.value[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                who = owner[at]
-                out = {"id": batch.column(0).take(pa.array(who)), "place": pa.array((at - (ends - size)[who]).astype(np.int32)), "template": pa.array(made[at].view(np.int64))}
-                if slots:
-                    out["slots"] = pa.array(window_hashes(exact, k)[at].view(np.int64))
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    return src.mapInArrow(run, f"id {kind}, place int, template long{', slots long' if slots else ''}")
+                own = window_hashes(exact, k) if slots or both else None
+                for made in [window_hashes(kinds, k) ^ np.uint64(k), *([own ^ np.uint64(LITERAL)] if both else [])]:
+                    if not len(made):
+                        continue
+                    owner, at = of[: len(made)], np.arange(len(made))
+                    ok = at + k <= ends[owner]
+                    if sent is not None:
+                        pos = (made >> np.uint64(64 - bits)).astype(np.int64)
+                        ok &= ((sent.value[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    who = owner[at]
+                    out = {"id": batch.column(0).take(pa.array(who)), "place": pa.array((at - (ends - size)[who]).astype(np.int32)), "template": pa.array(made[at].view(np.int64))}
+                    if slots:
+                        held = np.concatenate([[0], np.cumsum(kinds == number)])
+                        out["slots"] = pa.array(own[at].view(np.int64))
+                        out["number"] = pa.array(held[at + k] > held[at])
+                    yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return src.mapInArrow(run, f"id {kind}, place int, template long{', slots long, number boolean' if slots else ''}")
 
 
 def _distinctive(js: list, places: list, k: int, reach: int, need: float) -> bool:
@@ -198,30 +205,41 @@ def _few(items: DataFrame):
 
 
 def _template_sides(corpus: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, k: int) -> tuple[DataFrame, list[int]]:
-    """(id, item, j, place) of the template windows that a text shares with an item and few items hold, and the
-    word counts below k that items have: such an item is one window of its own size."""
+    """(id, item, j, place, sure) of the windows that a text shares with an item, and the
+    word counts below k that items have: such an item is one window of its own size.
+
+    Windows are shared by their template if few items hold it, else by their literal words if few hold those. A window that
+    is no stock phrase, holds a number and stands near windows of stock templates is shared by its literal words in any case, and sure."""
 
     def counts(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(words(t)) for t in b.column(0).to_pylist()], pa.int32())], names=["n"])
 
     short = sorted(r["n"] for r in items.select(item_text).mapInArrow(counts, "n int").where((F.col("n") > 0) & (F.col("n") < k)).distinct().collect())
-    win = _windows(items, item_col, item_text, [k]).select(F.col("id").alias("item"), F.col("place").alias("j"), "template")
+    cols = [F.col("id").alias("item"), F.col("place").alias("j"), "template", "slots", "number"]
+    win = _windows(items, item_col, item_text, [k], slots=True).select(*cols)
     for n in short:
         # only a window that is the whole of its item
-        one = _windows(items, item_col, item_text, [n]).select(F.col("id").alias("item"), F.col("place").alias("j"), "template")
+        one = _windows(items, item_col, item_text, [n], slots=True).select(*cols)
         of = one.groupBy("item").agg(F.count("*").alias("_n"))
         win = win.unionByName(one.join(of.where("_n = 1"), "item").drop("_n"))
-    used = win.groupBy("template").agg(F.count_distinct("item").alias("_in"))
-    win = cut_lineage(win.join(used, "template").where(F.col("_in") <= _few(items)).drop("_in"))
-    return _windows(corpus, id_col, text_col, [k, *short], hash_bitset(win, "template")).join(win, "template").select("id", "item", "j", "place"), short
+    few = lambda c, name: win.groupBy(c).agg((F.count_distinct("item") <= _few(items)).alias(name))
+    marked = win.join(few("template", "_open"), "template").join(few("slots", "_rare"), "slots")
+    # a chain of 20 words or more with fewer such windows near has DISTINCT of its words in the others, as COVER of them agree
+    near = W.partitionBy("item").orderBy("j").rangeBetween(-24, 24)
+    stock = F.count_if(~F.col("_open")).over(near) >= F.greatest(F.lit(1), F.least(F.lit(6), F.floor(0.3 * F.count("*").over(W.partitionBy("item")))))
+    marked = marked.withColumn("number", F.col("number") & stock)
+    literal = F.col("_rare") & (F.col("number") | ~F.col("_open"))
+    keys = F.array_compact(F.array(F.when(F.col("_open"), F.struct("template", F.lit(False).alias("sure"))), F.when(literal, F.struct(F.col("slots").bitwiseXOR(F.lit(LITERAL)).alias("template"), F.col("number").alias("sure")))))
+    win = cut_lineage(marked.select("item", "j", F.explode(keys).alias("key")).select("item", "j", "key.*"))
+    return _windows(corpus, id_col, text_col, [k, *short], hash_bitset(win, "template"), both=True).join(win, "template").select("id", "item", "j", "place", "sure"), short
 
 
 def leaked_items(corpus: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """(id, item, words): corpus texts that hold an item, or at least `min_words` consecutive words of it.
 
-    An item shorter than `min_words` must be held whole; one of fewer than `k` words, word for word. At least DISTINCT of the
-    words asked for must stand in templates that few items hold. Null and empty texts match nothing; items
+    An item shorter than `min_words` must be held whole; one of fewer than `k` words, word for word. A quotation with no number of the item's
+    own in a literal window that few items hold must have DISTINCT of the words asked for in templates or literal windows that few items hold. Null and empty texts match nothing; items
     without a name are not reported; repeated rows of the corpus count each, repeated items once; repeated names with other
     texts are one item each. Item windows and their bitset are made when this is called."""
     named = items.where(F.col(item_col).isNotNull()).select(item_col, item_text).distinct()
@@ -229,10 +247,10 @@ def leaked_items(corpus: DataFrame, items: DataFrame, id_col: str, text_col: str
     facts = _item_facts(named, item_col, item_text, k)
     id_kind, item_kind = corpus.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     # only places meet here, no texts
-    per = hits.groupBy("id", "item").agg(F.sort_array(F.collect_set(F.struct("j", "place"))).alias("places"))
+    per = hits.groupBy("id", "item").agg(F.sort_array(F.collect_set(F.struct("j", "place"))).alias("places"), F.bool_or("sure").alias("sure"))
     least = min_words
 
-    # a quotation has DISTINCT of its words in distinctive templates, so some stretch of twice the asked length has as many
+    # a quotation has an own number in a literal window that few items hold, or DISTINCT of its words in shared windows, so some stretch of twice the asked length has as many
     asked = F.least(F.lit(least - 0.5), F.col("spaced")) * F.col("size") / F.greatest(F.col("spaced"), F.lit(1))
 
     def screen(batches):
@@ -241,14 +259,14 @@ def leaked_items(corpus: DataFrame, items: DataFrame, id_col: str, text_col: str
             ends = col.offsets.to_pylist()
             js, places = (col.values.field(n).to_pylist() for n in (0, 1))
             keep = [
-                n for n, (x, y, size, words_) in enumerate(zip(ends, ends[1:], b.column(3).to_pylist(), b.column(4).to_pylist()))
-                if _distinctive(js[x:y], places[x:y], min(k, size), int(2 * words_) + 2, DISTINCT * words_ - 1e-9)
+                n for n, (x, y, size, words_, sure) in enumerate(zip(ends, ends[1:], *[b.column(c).to_pylist() for c in (3, 4, 5)]))
+                if sure or _distinctive(js[x:y], places[x:y], min(k, size), int(2 * words_) + 2, DISTINCT * words_ - 1e-9)
             ]
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["id", "item"])
 
     sizes = facts.groupBy("item").agg(F.min(F.struct(asked.alias("asked"), "size")).alias("s")).select("item", "s.size", "s.asked")
-    sized = per.join(sizes, "item").where(F.size("places") * k >= DISTINCT * F.col("asked") - 1e-9).select("id", "item", "places", "size", "asked")
+    sized = per.join(sizes, "item").where(F.col("sure") | (F.size("places") * k >= DISTINCT * F.col("asked") - 1e-9)).select("id", "item", "places", "size", "asked", "sure")
     likely = cut_lineage(sized.mapInArrow(screen, f"id {id_kind}, item {item_kind}"))
     texts = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     both = texts.join(likely, "id").join(facts, "item").select("id", "item", "text", "item_text", "spaced", "numbers", "rare")

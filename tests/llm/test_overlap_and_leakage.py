@@ -190,3 +190,13 @@ def test_leaks_with_empty_tables(spark):
     i = spark.createDataFrame([("1", "a b c d e f")], "index string, stem string")
     run = lambda x, y: leakage.leaked_items(x, y, "rec_id", "text", "index", "stem").count()
     assert run(c.limit(0), i) == 0 and run(c, i.limit(0)) == 0
+
+
+def test_leaks_of_items_of_stock_templates(spark):
+    rng = random.Random(12)
+    mould = [rng.choice(VOCAB) if n % 5 else None for n in range(1, 41)]
+    made = [(str(i), " ".join(w or str(rng.randint(1000, 9999)) for w in mould)) for i in range(12)]
+    c = spark.createDataFrame([(1, "so " + made[3][1]), (2, " ".join(w or "7" for w in mould))], "rec_id long, text string")
+    i = spark.createDataFrame(made, "index string, stem string")
+    got = {(r.rec_id, r["index"]) for r in leakage.leaked_items(c, i, "rec_id", "text", "index", "stem").collect()}
+    assert got == {(1, "3")}
