@@ -68,6 +68,15 @@ def test_texts_that_share_a_few_rare_shingles_are_no_candidates(spark):
     assert {r.id for r in similarity.linked_members(pairs, members).where("links > 0").collect()} == {0, 1, 36, 37}
 
 
+def test_pairs_that_share_few_shingles_are_not_compared_in_any_order_of_ids(spark):
+    texts = [" ".join([f"r{r}w{j}" for j in range(8)] + [f"c{c}w{j}" for j in range(8)]) for r in range(5) for c in range(5)]
+    df = spark.createDataFrame([(100 - i, t) for i, t in enumerate([*texts, texts[7] + " more", texts[9]])], "rec_id long, text string")
+    c = similarity._classes(df.select(F.col("rec_id").alias("id"), F.col("text").alias("norm")), [], 5)
+    left, right = (similarity._prefixes(c, [], 0.4).select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
+    assert similarity._candidates(left, right, ["s"], 0.4, True).count() == 1
+    assert [(r.a, r.b) for r in similarity.near_duplicates(df, "rec_id", "text")[0].collect()] == [(75, 93)]
+
+
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         similarity.near_duplicates(spark.createDataFrame([], "id int, t string"), "id", "t", 0)
