@@ -77,6 +77,23 @@ def test_pairs_that_share_few_shingles_are_not_compared_in_any_order_of_ids(spar
     assert [(r.a, r.b) for r in similarity.near_duplicates(df, "rec_id", "text")[0].collect()] == [(75, 93)]
 
 
+@pytest.mark.parametrize("t", [0.2, 0.4, 0.7])
+def test_self_join_holds_no_row_a_shingle_and_loses_none_at_the_cuts(spark, monkeypatch, t):
+    from corvane.operators import posting
+
+    monkeypatch.setattr(posting, "FLUSH", 300)
+    monkeypatch.setattr(posting, "STEP", 7)
+    rng = random.Random(4)
+    stock = [" ".join(f"s{i}w{j}" for j in range(9)) for i in range(4)]
+    texts = {" ".join(rng.sample(stock, rng.randint(0, 3)) + [rng.choice("abc") for _ in range(rng.randint(1, 14))]) for _ in range(150)}
+    data = list(enumerate(sorted(texts)))
+    pairs, _ = similarity.near_duplicates(spark.createDataFrame(data, "id int, t string").repartition(3), "id", "t", t)
+    assert "explode" not in pairs._jdf.queryExecution().toString()
+    sets = [shingles(x) for _, x in data]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, _ in data for b in range(a + 1, len(data))}
+    assert {(r.a, r.b): r.jaccard for r in pairs.collect()} == {p: j for p, j in want.items() if j >= t}
+
+
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         similarity.near_duplicates(spark.createDataFrame([], "id int, t string"), "id", "t", 0)
